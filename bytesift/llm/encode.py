@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: pieces in each of the two generations that one Python worker keeps
-CACHE_PIECES = 500_000
+#: pieces in each of the two generations that one Python worker keeps, about 200 bytes each
+CACHE_PIECES = 1_000_000
 #: texts of one call to the library
 BLOCK = 512
 

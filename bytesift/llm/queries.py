@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination, is_contaminated
 from .encode import vocabulary
 from .packing import pack_documents
+from .common import scratch_path
+from .store import read_summary, write_store
 from .simhash import near_groups
 
 
@@ -40,8 +42,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "store")
+    write_store(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return read_summary(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate}
+    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
