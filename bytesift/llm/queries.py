@@ -12,6 +12,7 @@ from .encode import vocabulary
 from .packing import pack_documents
 from .common import scratch_path
 from .store import read_summary, write_store
+from .toxicity import fit, held_out, score_column
 from .simhash import near_groups
 
 
@@ -48,8 +49,15 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_summary(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    rows = docs.select("doc_id", held_out().alias("held_out"), score_column(docs, lexicon).alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store}
+    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
