@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination, is_contaminated
 from .encode import vocabulary
 from .packing import pack_documents
-from .common import scratch_path
+from . import oracle
+from .common import materialize, scratch_path
 from .store import read_summary, write_store
+from .urls import judge
+from .warc import page_of, read_warc, write_warc
 from .toxicity import fit, held_out, score_column
 from .simhash import near_groups
 
@@ -49,6 +52,22 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_summary(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    read = read_warc(spark, path).select(page_of("name").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+    read = materialize(read, "warc-read")
+    first = read.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
+    revisits = read.where("record_type = 'revisit'").join(first, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")), "left")
+    revisits = revisits.select("page_id", F.col("b").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return read.where("record_type = 'response'").unionByName(revisits)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -57,8 +76,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op10_toxicity": op10_toxicity}
+    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": oracle.OP5, "op9_warc": oracle.OP9}
