@@ -13,6 +13,7 @@ from .packing import pack_documents
 from . import oracle
 from .common import materialize, scratch_path
 from .store import read_summary, write_store
+from .suffixes import remove_repeats
 from .urls import judge
 from .warc import page_of, read_warc, write_warc
 from .toxicity import fit, held_out, score_column
@@ -52,6 +53,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_summary(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -76,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op7_suffix_dedup": op7_suffix_dedup, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
