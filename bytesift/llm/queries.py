@@ -17,6 +17,7 @@ from .suffixes import remove_repeats
 from .urls import judge
 from .warc import page_of, read_warc, write_warc
 from .toxicity import fit, held_out, score_column
+from .fingerprints import edit_report
 from .simhash import near_groups
 
 
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -81,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op7_suffix_dedup": op7_suffix_dedup, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op2_fingerprints": op2_fingerprints, "op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op7_suffix_dedup": op7_suffix_dedup, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
