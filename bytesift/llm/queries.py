@@ -18,6 +18,7 @@ from .urls import judge
 from .warc import page_of, read_warc, write_warc
 from .toxicity import fit, held_out, score_column
 from .fingerprints import edit_report
+from .lines import line_groups
 from .simhash import near_groups
 
 
@@ -25,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "line_no", F.col("group").alias("component_id"), "keep")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -86,7 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op7_suffix_dedup": op7_suffix_dedup, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_line_dedup": op1_line_dedup, "op2_fingerprints": op2_fingerprints, "op3_simhash": op3_simhash, "op4_best_fit_packing": op4_best_fit_packing, "op5_decontaminate": op5_decontaminate, "op6_token_store": op6_token_store, "op7_suffix_dedup": op7_suffix_dedup, "op8_url_filter": op8_url_filter, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
