@@ -1,9 +1,11 @@
 """Fuzzy line dedup by MinHash, by DataFrame functions alone.
 
 A line is the set of its byte shingles of SHINGLE bytes (a shorter line is one shingle; blank lines take no
-part). Equal lines are folded first. One XXH64 per shingle serves all BANDS * ROWS signature
-places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. Lines that
-agree in a band meet in a bucket; with bands of 3 places, a pair at similarity 0.8 meets in one of 9 with probability 0.998.
+part). Equal lines are one: a line is known by its 64-bit hash. One XXH64 per shingle serves all PLACES signature
+places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. A band is
+three places; lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
+two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
+probability 0.9976, one at 0.9 with 0.9999.
 
 Within a bucket every line is held against the bucket's first; the exact Jaccard similarity decides. What this leaves apart is
 held against the other lines of the bucket that are in other components, so no pair of a bucket that
@@ -20,56 +22,50 @@ from .common import materialize, text_or_empty
 from .components import connected_components
 
 SHINGLE = 10
-BANDS, ROWS = 9, 3
+#: places form three rows of SIDE; band (x, s) takes place x of the first row, x + s of the second, 2 x + s of the third
+SIDE, DIAGONALS = 5, 3
+PLACES = 3 * SIDE
+BANDS = [(x, SIDE + (x + s) % SIDE, 2 * SIDE + (2 * x + s) % SIDE) for x in range(SIDE) for s in range(DIAGONALS)]
 SIMILARITY = 0.8
 #: line ids up to which their table is broadcast to the texts (24 bytes each)
 BROADCAST_LINES = 600_000
 
 #: odd steps of the golden ratio of 2**64: any distinct values serve as salts
-_SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(BANDS * ROWS)]
+_SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(PLACES)]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line, and its 128-bit hash a, b; blank lines included. A null text has no line."""
+    """doc_id, line_no (from 0), line, and its hash a, without blank lines. A null text has no line."""
     parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return parts.select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    return parts.where(F.trim("line") != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"))
 
 
-def _count(data: str = "data") -> Column:
-    return F.greatest(F.octet_length(data) - SHINGLE + 1, F.lit(1))
+def _shingles(lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, and h: the hash of each shingle of column line, one row each."""
+    data = lines.select(*keep, F.encode("line", "UTF-8").alias("data"))
+    each = data.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("data") - SHINGLE + 1, F.lit(1)))).alias("i"))
+    return each.select(*keep, F.xxhash64(F.expr(f"substring(data, i, {SHINGLE})")).alias("h"))
 
 
-def _shingle(data: str, i: str) -> Column:
-    return F.xxhash64(F.expr(f"substring({data}, {i}, {SHINGLE})"))
+def _buckets(lines: DataFrame) -> DataFrame:
+    """key, node, first, n: lines that share a band with another line, the bucket's smallest line, and its number of lines.
 
-
-def _signatures(distinct: DataFrame) -> DataFrame:
-    """a, b and the signature places m0, m1, ..: distinct is spread by (a, b), so no row moves again."""
-    each = distinct.select("a", "b", F.encode("line", "UTF-8").alias("data")).select("a", "b", "data", F.explode(F.sequence(F.lit(1), _count())).alias("i"))
-    hashed = each.select("a", "b", _shingle("data", "i").alias("h"))
+    Signatures are combined where lines are read; what is moved is one row per line and task, then one per line and band.
+    """
     places = [F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SALTS)]
-    return hashed.groupBy("a", "b").agg(*places)
-
-
-def _buckets(distinct: DataFrame) -> DataFrame:
-    """key, a: lines (by the first half of their hash) that share a band with another line."""
-    bands = [F.xxhash64(F.lit(j), *[f"m{j * ROWS + r}" for r in range(ROWS)]) for j in range(BANDS)]
-    keyed = _signatures(distinct).select(F.col("a").alias("node"), F.explode(F.array(*bands)).alias("key"))
+    signatures = _shingles(lines, "a").groupBy("a").agg(*places)
+    bands = [F.xxhash64(F.lit(j), *[f"m{m}" for m in band]) for j, band in enumerate(BANDS)]
+    keyed = signatures.select(F.col("a").alias("node"), F.explode(F.array(*bands)).alias("key"))
     together = Window.partitionBy("key")
-    # rank first (no buffer), so that most buckets, of one line, cost no more than their sort
-    ranked = keyed.withColumns({"n": F.count("*").over(together), "first": F.min("node").over(together)})
-    return ranked.where("n > 1").select("key", "node", "first", "n")
+    return keyed.withColumns({"n": F.count("*").over(together), "first": F.min("node").over(together)}).where("n > 1").select("key", "node", "first", "n")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, s: the distinct shingle hashes of the wanted lines."""
-    lines = lines_of(docs, id_col, text_col).select(F.col("a").alias("node"), "line")
     n = nodes.count()
-    wanted = lines.join(F.broadcast(nodes) if n <= BROADCAST_LINES else nodes, "node", "left_semi")
-    one = wanted.groupBy("node").agg(F.first("line").alias("line")).select("node", F.encode("line", "UTF-8").alias("data"))
-    # distinct shingles by sorting: array_distinct keeps the rest of the work on longs
-    hashes = F.transform(F.sequence(F.lit(1), _count()), lambda i: F.xxhash64(F.substring(F.col("data"), i, F.lit(SHINGLE))))
-    return one.select("node", F.array_distinct(hashes).alias("s"))
+    wanted = lines.select(F.col("a").alias("node"), "line").join(F.broadcast(nodes) if n <= BROADCAST_LINES else nodes, "node", "left_semi")
+    one = wanted.groupBy("node").agg(F.first("line").alias("line"))
+    return _shingles(one, "node").groupBy("node").agg(F.collect_set("h").alias("s"))  # at most one line's shingles
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -84,11 +80,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for lines (by the hash a) that are near-duplicates of a different line; root is the component's smallest node."""
-    lines = lines_of(docs, id_col, text_col).where(F.trim("line") != "")
-    distinct = lines.groupBy("a", "b").agg(F.first("line").alias("line"))
-    shared = materialize(_buckets(distinct), "buckets")
+    lines = lines_of(docs, id_col, text_col).select("a", "line")
+    shared = materialize(_buckets(lines), "buckets")
     stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
-    sets = materialize(_texts(docs, shared.select("node").distinct(), id_col, text_col), "shingles")
+    sets = materialize(_sets(lines, shared.select("node").distinct()), "shingles")
     links = materialize(_verified(stars, sets), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
     # what the stars leave apart: lines of a bucket in other components than most of it
@@ -112,7 +107,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep is true for the line that stands first in its component: smallest id (nulls first), then line_no; repeated rows share id and
     number, and so their lines share the decision. Blank lines and null texts give no row.
     """
-    narrow = lines_of(docs, id_col, text_col).where(F.trim("line") != "").select("doc_id", "line_no", "a")
+    narrow = materialize(lines_of(docs, id_col, text_col).select("doc_id", "line_no", "a"), "lines")
     roots = near_lines(docs, id_col, text_col)
     place = F.struct(F.col("doc_id").isNotNull().alias("z"), F.col("doc_id").alias("i"), F.col("line_no").alias("l"))
     seen = narrow.groupBy("a").agg(F.min(place).alias("p"), F.count("*").alias("n"))
