@@ -29,6 +29,10 @@ BANDS = [(x, SIDE + (x + s) % SIDE, 2 * SIDE + (2 * x + s) % SIDE) for x in rang
 SIMILARITY = 0.8
 #: line ids up to which their table is broadcast to the texts (24 bytes each)
 BROADCAST_LINES = 600_000
+#: pairs of one line that one group verifies
+LEAVES = 2_000
+#: groups that a task's aggregation of shingle lists holds in memory before it sorts
+LISTS = 20_000
 
 #: odd steps of the golden ratio of 2**64: any distinct values serve as salts
 _SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(PLACES)]
@@ -67,28 +71,33 @@ def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.groupBy("node").agg(F.first("line").alias("line"))
 
 
-def _set(line: str) -> Column:
-    """The distinct shingle hashes of a line."""
-    data = F.encode(line, "UTF-8")
-    count = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE)))))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once, however often filters name it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (x, y) those whose exact Jaccard similarity is at least SIMILARITY.
 
-    Texts are moved, never sets: x's set is made once, where its pairs have been sent; y's is made beside it.
+    Texts are moved, never sets: x's set is made once for every LEAVES of its pairs, where those have been sent.
     """
-    y = pairs.join(texts.select(F.col("node").alias("y"), F.col("line").alias("ly")), "y")
-    x = texts.join(pairs.select(F.col("x").alias("node")).distinct(), "node", "left_semi").repartition("node")
-    x = x.select(F.col("node").alias("x"), _set("line").alias("sx"))
-    both = y.join(x, "x").withColumn("sy", _set("ly"))
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.where(common >= SIMILARITY * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    centers = pairs.groupBy("x").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
+    dealt = pairs.join(centers, "x").select("x", "y", F.pmod("y", "salts").alias("salt"))
+    y = dealt.join(texts.select(F.col("node").alias("y"), "line"), "y").repartition(parts, "x", "salt")
+    y = _shingles(y, "x", "salt", "y").groupBy("x", "salt", "y").agg(F.collect_list("h").alias("sy"))  # one line's shingles
+    x = centers.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    x = x.join(texts.select(F.col("node").alias("x"), "line"), "x").repartition(parts, "x", "salt")
+    x = _shingles(x, "x", "salt").groupBy("x", "salt").agg(F.array_distinct(F.collect_list("h")).alias("sx"))
+    both = _once(y.join(x, ["x", "salt"]), "common", F.size(F.array_intersect("sx", "sy")))
+    both = both.where(F.col("common") >= SIMILARITY * F.size("sx"))  # x alone rules it out otherwise
+    union = F.size("sx") + F.size(F.array_distinct("sy")) - F.col("common")
+    return both.where(F.col("common") >= SIMILARITY * union).select("x", "y")
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for lines (by the hash a) that are near-duplicates of a different line; root is the component's smallest node."""
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(LISTS))
     lines = lines_of(docs, id_col, text_col).select("a", "line")
     shared = materialize(_buckets(lines), "buckets")
     stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
