@@ -7,10 +7,11 @@ three places; lines that agree in a band meet in a bucket. Bands are the blocks
 two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
 probability 0.991, one at 0.85 with 0.998, one at 0.9 with 0.9998.
 
-Within a bucket every line is held against the bucket's first; the exact Jaccard similarity decides. What this leaves apart is
-held against the other lines of the bucket that are in other components, so no pair of a bucket that
-could still join two components goes unseen. Components come from distributed union-find (components.py); of
-each component the line that stands first (by id, then by place in the text) stays.
+Within a bucket every line is held against the bucket's first; the exact Jaccard similarity decides. Lines that
+this leaves outside the bucket's largest component are held against that component's last line, and against the first of
+their own kind. So a bucket costs at most three comparisons a line, never all its pairs; a link that none of a
+pair's buckets brings up this way is found only through other lines. Components come from distributed union-find
+(components.py); of each component the line that stands first (by id, then by place in the text) stays.
 """
 
 from __future__ import annotations
@@ -108,11 +109,14 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = materialize(named.join(least.where("lo <> hi"), "key").select("key", "node", "root"), "mixed-buckets")
-    most = mixed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    apart = mixed.join(most, "key").where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    pairs = apart.join(mixed.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").where("rx <> ry")
+    # per root the last node and the number of lines; the largest root is the bucket's main one
+    by_root = mixed.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("node").alias("last"))
+    main = by_root.groupBy("key").agg(F.max(F.struct("n", "root", "last")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.last").alias("last"))
+    apart = materialize(mixed.join(main, "key").where("root <> main").select("key", "node", "last"), "apart")
+    own = apart.groupBy("key").agg(F.min("node").alias("lead"))
+    second = apart.select(F.col("last").alias("x"), F.col("node").alias("y")).unionByName(apart.join(own, "key").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y")))
     ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    fresh = pairs.select(*ordered).distinct().join(stars.select(*ordered), ["x", "y"], "left_anti")
+    fresh = second.select(*ordered).distinct().join(stars.select(*ordered), ["x", "y"], "left_anti")
     more = materialize(_verified(fresh, texts), "line-links")
     if more.limit(1).count() == 0:
         return roots
