@@ -61,14 +61,14 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
-def _simhash_column(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
+def simhash_column(text: str | Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint as a signed long; a null text counts as empty."""
 
+    @F.pandas_udf(LongType())
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-def simhash_column(text: str | Column) -> Column:
-    """The fingerprint as a signed long; a null text counts as empty."""
-    return _simhash_column(text_or_empty(text))
+    return of(text_or_empty(text))
 
 
 @lru_cache(maxsize=1)
@@ -152,7 +152,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     return a.join(b, (a.key == b.key) & (a.g == b.g) & near).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row of docs: its row_keys(), fingerprint (signed long), component_id, the smallest id reachable, and root, the
     component's smallest fingerprint.
 
@@ -160,7 +160,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component unless the component has no other id; then component_id is null. Repeated rows stay repeated.
     """
     small_batches(docs.sparkSession)
-    rows = materialize(docs.select(*row_keys(docs, id_col, text_col), simhash_column(text_col).alias("fp")), "simhash")
+    rows = materialize(docs.select(*row_keys(docs, id_col, text_col), simhash_column(text_col, shingle).alias("fp")), "simhash")
     seen = materialize(rows.groupBy("fp").agg(F.min("__id").alias("first")), "simhash-distinct")
     roots = connected_components(near_links(seen.select("fp")))
     named = seen.join(roots, seen.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -169,9 +169,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(names, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Of each component the row with the smallest id stays (nulls last; of rows tied in the id, that with the smallest text hash; of repeated rows, one)."""
-    rows = materialize(near_groups(docs, id_col, text_col), "simhash-groups")
+    rows = materialize(near_groups(docs, id_col, text_col, shingle), "simhash-groups")
     one = F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("i"), F.col("__t1").alias("s"), F.col("__t2").alias("t"))
     best = rows.groupBy("root").agg(F.min(one).alias("best"))
     kept = best.select(F.col("best.i").alias("__id"), F.col("best.s").alias("__t1"), F.col("best.t").alias("__t2"))
