@@ -5,11 +5,281 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import sql_api, stats
+from ..functions.spec import TargetSpec
+from ..operators import csvscan, prefix, scan
+from ..operators.csvscan import Dialect
+from . import oracle
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spec(*parts: tuple) -> TargetSpec:
+    b = TargetSpec.builder()
+    for kind, *args in parts:
+        getattr(b, kind)(*args)
+    return b.build()
+
+
+COMMA = _spec(("codepoints", "comma", ","))
+PUNCTUATION = _spec(("codepoints", "comma", ","), ("codepoints", "stop", ".!?"), ("codepoints", "quote", "\"'"), ("codepoints", "space", " \t\r\n\f"))
+MANY = _spec(*[("codepoints", f"t{i}", chr(97 + i)) for i in range(24)])
+DIGITS = _spec(("range", "digit", "0", "9"))
+MIXED = _spec(("range", "digit", "0", "9"), ("range", "comparison", "<", ">"), ("codepoints", "dash", "-_"), ("codepoints", "star", "*"))
+E_ACUTE = _spec(("codepoint", "eacute", "é"))
+SHARED = _spec(("codepoint", "eacute", "é"), ("codepoint", "oacute", "ó"), ("codepoint", "ntilde", "ñ"), ("codepoint", "itilde", "ĩ"))
+ALL_KINDS = _spec(("codepoints", "space", " \n"), ("codepoint", "eacute", "é"), ("codepoint", "tm", "™"), ("codepoint", "smile", "😀"), ("range", "digit", "0", "9"))
+STRUCTURE = _spec(("codepoints", "delimiter", ","), ("codepoints", "quote", '"'), ("codepoints", "lf", "\n"), ("codepoints", "cr", "\r"))
+QUOTE = _spec(("codepoints", "quote", '"'))
+BRACES = _spec(("codepoints", "open", "{"), ("codepoints", "close", "}"), ("codepoints", "quote", '"'))
+TAGS = _spec(("codepoints", "open", "<"), ("codepoints", "close", ">"), ("codepoints", "quote", '"'))
+
+
+def _find(name: str, table: str, key: str, text: str, spec: TargetSpec, quote: str | None = None, strategy: str = "auto") -> None:
+    _add(name, lambda spark, d: scan.find(_table(spark, d, table), text, spec, keys=[key], quote_filter=quote, strategy=strategy), oracle.find(table, key, text, spec, quote))
+
+
+for _name, _targets in {"find_single": COMMA, "find_groups": PUNCTUATION, "find_many_24": MANY, "find_range": DIGITS, "find_range_and_groups": MIXED, "find_2byte": E_ACUTE, "find_shared_lead": SHARED, "find_mixed": ALL_KINDS}.items():
+    _find(_name, "documents", "doc_id", "text", _targets)
+_find("find_groups_sql", "documents", "doc_id", "text", PUNCTUATION, strategy="sql")
+_find("find_conversations", "conversations", "conv_id, turn", "text", PUNCTUATION)
+_QUERIES["find_conversations"] = lambda spark, d: scan.find(_table(spark, d, "conversations"), "text", PUNCTUATION, keys=["conv_id", "turn"])
+_find("quote_filter_documents", "documents", "doc_id", "text", STRUCTURE, quote="quote")
+_find("quote_filter_pages", "pages", "page_id", "html", STRUCTURE, quote="quote")
+_find("quote_filter_pages_sql", "pages", "page_id", "html", STRUCTURE, quote="quote", strategy="sql")
+
+_LONG = "(SELECT doc_id, text || '™é 😀' || text || '日本9' AS text FROM documents)"
+_WIDE = _spec(("codepoint", "tm", "™"), ("codepoint", "smile", "😀"), ("codepoint", "ri", "日"), ("codepoint", "eacute", "é"))
+_add(
+    "find_3_4byte_synthetic",
+    lambda spark, d: scan.find(_table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("™é 😀"), "text", F.lit("日本9")).alias("text")), "text", _WIDE, keys=["doc_id"]),
+    oracle.find(_LONG, "doc_id", "text", _WIDE),
+)
+_add(
+    "find_binary",
+    lambda spark, d: scan.find(_table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "content", SHARED, keys=["doc_id"]),
+    oracle.find("documents", "doc_id", "text", SHARED),
+)
+
+
+def _udtf(spark: SparkSession, d: str) -> DataFrame:
+    sql_api.register(spark)
+    _table(spark, d, "documents").createOrReplaceTempView("scan_documents")
+    return spark.sql("SELECT t.doc_id, s.pos, s.lit, s.name FROM scan_documents t, LATERAL scan_bytes(t.text, 'comma=,;digit=0..9;eacute=é') s")
+
+
+_add("scan_bytes_udtf", _udtf, oracle.find("documents", "doc_id", "text", sql_api.parse_spec("comma=,;digit=0..9;eacute=é")))
+
+# counts and tests without taking a text apart
+
+_M = oracle.matches("documents", "doc_id", "text", PUNCTUATION)
+_add(
+    "match_count",
+    lambda spark, d: scan.count(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"]),
+    f"WITH {_M} SELECT doc_id, CAST(count(pos) AS BIGINT) AS n_matches FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id",
+)
+_add(
+    "match_histogram",
+    lambda spark, d: scan.histogram(scan.find(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"])),
+    f"WITH {_M} SELECT name, count(*) AS n_matches FROM m GROUP BY name",
+)
+_add(
+    "first_last_match",
+    lambda spark, d: scan.find(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"]).groupBy("doc_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min_by("name", "pos").alias("first_name")),
+    f"WITH {_M} SELECT doc_id, min(pos) AS first_pos, max(pos) AS last_pos, arg_min(name, pos) AS first_name FROM m GROUP BY doc_id",
+)
+_add(
+    "match_by_index",
+    lambda spark, d: scan.index(scan.find(_table(spark, d, "documents"), "text", COMMA, keys=["doc_id"]), ["doc_id"]).where("idx = 3").select("doc_id", "idx", "pos"),
+    f"WITH {oracle.matches('documents', 'doc_id', 'text', COMMA)}, n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx FROM m) SELECT doc_id, idx, pos FROM n WHERE idx = 3",
+)
+_add(
+    "match_density",
+    lambda spark, d: scan.density(_table(spark, d, "documents"), "text", COMMA, keys=["doc_id"]),
+    "SELECT doc_id, CAST(length(text) - length(replace(text, ',', '')) AS BIGINT) AS n_matches, CAST(strlen(text) AS BIGINT) AS n_bytes, CASE WHEN strlen(text) > 0 THEN (length(text) - length(replace(text, ',', ''))) / strlen(text) ELSE 0.0 END AS density FROM documents",
+)
+_add("has_match", lambda spark, d: scan.exists(_table(spark, d, "documents"), "text", QUOTE).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(text, '\"')")
+_add(
+    "regex_parity",
+    lambda spark, d: _table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([,.!?0-9é])"), F.lit(1))).alias("idx", "hit")),
+    "WITH r AS (SELECT doc_id, regexp_extract_all(text, '[,.!?0-9é]') AS h FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, h[i] AS hit FROM r, unnest(range(1, len(h) + 1)) AS u(i)",
+)
+
+# bytes and characters
+
+_C = oracle.characters("documents", "doc_id", "text")
+
+
+def _chars(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+
+
+_add("byte_class_histogram", lambda spark, d: _chars(spark, d).groupBy(scan.utf8_class(F.col("ch")).alias("n_bytes")).agg(F.count("*").alias("n")), f"WITH {_C} SELECT CAST(strlen(ch) AS INTEGER) AS n_bytes, count(*) AS n FROM p GROUP BY 1")
+_add("non_ascii_rows", lambda spark, d: _table(spark, d, "documents").where(scan.non_ascii("text")).select("doc_id"), "SELECT doc_id FROM documents WHERE strlen(text) > length(text)")
+_add(
+    "nibble_histogram",
+    lambda spark, d: _chars(spark, d).where("octet_length(ch) = 1").groupBy(F.shiftright(F.ascii("ch"), 4).alias("high"), F.ascii("ch").bitwiseAND(15).alias("low")).agg(F.count("*").alias("n")),
+    f"WITH {_C} SELECT CAST(ord(ch) >> 4 AS INTEGER) AS high, CAST(ord(ch) & 15 AS INTEGER) AS low, count(*) AS n FROM p WHERE strlen(ch) = 1 GROUP BY ALL",
+)
+_add(
+    "character_entropy",
+    lambda spark, d: stats.entropy(_chars(spark, d)).select(F.round("entropy", 6).alias("entropy")),
+    f"WITH {_C}, n AS (SELECT ch, count(*) AS n FROM p GROUP BY ch), t AS (SELECT sum(n) AS total FROM n) SELECT round(-sum(n / total * log2(n / total)), 6) AS entropy FROM n, t",
+)
+
+# prefix scans and filters
+
+
+def _toggles(spark: SparkSession, d: str, table: str, key: str, text: str) -> DataFrame:
+    found = scan.find(_table(spark, d, table), text, QUOTE, keys=[key])
+    return prefix.toggle(found, F.lit(1), [key]).select(key, "pos", "inside")
+
+
+for _name, _table_name, _key, _text in (("toggle_props", "events", "event_id", "props"), ("toggle_pages", "pages", "page_id", "html")):
+    _add(
+        _name,
+        lambda spark, d, a=_table_name, b=_key, c=_text: _toggles(spark, d, a, b, c),
+        f"WITH {oracle.matches(_table_name, _key, _text, QUOTE)} SELECT {_key}, pos, CAST(row_number() OVER (PARTITION BY {_key} ORDER BY pos) % 2 AS INTEGER) AS inside FROM m",
+    )
+
+
+def _depth_sql(spec: TargetSpec, table: str, key: str, text: str) -> str:
+    return f"WITH {oracle.matches(table, key, text, spec)}, x AS (SELECT {key}, pos, name, CAST(sum(CASE name WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY {key} ORDER BY pos) AS BIGINT) AS depth FROM m WHERE name <> 'quote')"
+
+
+def _depths(spark: SparkSession, d: str, spec: TargetSpec, table: str, key: str, text: str) -> DataFrame:
+    return prefix.nesting(scan.find(_table(spark, d, table), text, spec, keys=[key]), "open", "close", [key]).select(key, "pos", "name", "depth")
+
+
+_add("depth_braces", lambda spark, d: _depths(spark, d, BRACES, "events", "event_id", "props"), _depth_sql(BRACES, "events", "event_id", "props") + " SELECT event_id, pos, name, depth FROM x")
+_add("depth_tags", lambda spark, d: _depths(spark, d, TAGS, "pages", "page_id", "html"), _depth_sql(TAGS, "pages", "page_id", "html") + " SELECT page_id, pos, name, depth FROM x")
+_add("max_depth", lambda spark, d: _depths(spark, d, TAGS, "pages", "page_id", "html").groupBy("page_id").agg(F.max("depth").alias("max_depth")), _depth_sql(TAGS, "pages", "page_id", "html") + " SELECT page_id, max(depth) AS max_depth FROM x GROUP BY page_id")
+_add(
+    "string_mask_then_depth",
+    lambda spark, d: prefix.mask_then_nesting(scan.find(_table(spark, d, "pages"), "html", TAGS, keys=["page_id"]), "quote", "open", "close", ["page_id"]).select("page_id", "pos", "name", "depth"),
+    f"WITH {oracle.matches('pages', 'page_id', 'html', TAGS)}, q AS (SELECT *, sum(CASE WHEN name = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) % 2 AS inside FROM m) SELECT page_id, pos, name, CAST(sum(CASE name WHEN 'open' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS depth FROM q WHERE name <> 'quote' AND inside = 0",
+)
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """64-character chunks of pages."""
+    pages = _table(spark, d, "pages").where("length(html) > 0")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("html") - 1) / 64).cast("int")), lambda k: F.substring(F.col("html"), k * 64 + 1, F.lit(64)))
+    return pages.select("page_id", F.posexplode(cut).alias("seq", "data"))
+
+
+def _chunk_matches(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d)
+    size = prefix.chunk_carry(chunks, F.octet_length("data"), ["page_id"]).select("page_id", "seq", F.col("carry").alias("base"))
+    found = scan.find(chunks, "data", TAGS, keys=["page_id", "seq"])
+    return found.join(size, ["page_id", "seq"])
+
+
+_add(
+    "chunk_carry_toggle",
+    lambda spark, d: prefix.chunk_scan(_chunk_matches(spark, d).where("name = 'quote'"), F.lit(1), ["page_id"], xor=True).select("page_id", (F.col("pos") + F.col("base")).alias("pos"), F.col("state").cast("int").alias("inside")),
+    _SQL["toggle_pages"],
+)
+_add(
+    "chunk_carry_depth",
+    lambda spark, d: prefix.chunk_scan(_chunk_matches(spark, d).where("name <> 'quote'"), F.when(F.col("name") == "open", 1).otherwise(-1), ["page_id"]).select("page_id", (F.col("pos") + F.col("base")).alias("pos"), "name", F.col("state").alias("depth")),
+    _SQL["depth_tags"],
+)
+_add(
+    "lane_shift",
+    lambda spark, d: prefix.shift(scan.find(_table(spark, d, "documents"), "text", COMMA, keys=["doc_id"]), "pos", 3, ["doc_id"]).select("doc_id", "pos", "shifted"),
+    f"WITH {oracle.matches('documents', 'doc_id', 'text', COMMA)} SELECT doc_id, pos, CAST(lag(pos, 3, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS shifted FROM m",
+)
+
+# CSV: cases with known rows
+
+CSV_CASES = {
+    "csv_simple": ("a,b,c\n1,2,3\nx,y,z\n", Dialect(), [["a", "b", "c"], ["1", "2", "3"], ["x", "y", "z"]]),
+    "csv_quoted": ('"a,b",c\n"line1\nline2",b\n', Dialect(), [["a,b", "c"], ["line1\nline2", "b"]]),
+    "csv_unescape": ('"he said ""hi""",b\n"",c\n', Dialect(), [['he said "hi"', "b"], ["", "c"]]),
+    "csv_tab": ("a\tb\tc\n", Dialect(delimiter="\t"), [["a", "b", "c"]]),
+    "csv_single_quote": ("'he said ''hi''',b\n", Dialect(quote="'"), [["he said 'hi'", "b"]]),
+    "csv_crlf_mixed": ("a\nb\r\nc\rd", Dialect(), [["a"], ["b"], ["c"], ["d"]]),
+    "csv_empty_fields": (",,,\na,b,", Dialect(), [["", "", "", ""], ["a", "b", ""]]),
+    "csv_ragged": ("a\nb,c\nd,e,f\n", Dialect(), [["a"], ["b", "c"], ["d", "e", "f"]]),
+    "csv_blank_line": ("a\n\nb\n", Dialect(), [["a"], [""], ["b"]]),
+    "csv_large_field": ("x" * 200 + ",short\n" + '"' + "," * 200 + '",b\n', Dialect(), [["x" * 200, "short"], ["," * 200, "b"]]),
+    "csv_mid_quote": ('ab"c,d"e,f\n', Dialect(), [['ab"c,d"e', "f"]]),
+    "csv_unclosed": ('"abc', Dialect(), [['"abc']]),
+}
+
+
+def _literal(text: str) -> str:
+    return " || ".join(f"chr({ord(p)})" if p in "\n\r\t" else "'" + p.replace("'", "''") + "'" for p in _pieces(text)) or "''"
+
+
+def _pieces(text: str) -> list[str]:
+    out = [""]
+    for ch in text:
+        if ch in "\n\r\t":
+            out += [ch, ""]
+        else:
+            out[-1] += ch
+    return [p for p in out if p]
+
+
+def _case(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(1, text.encode())], "case_id int, content binary")
+
+
+for _name, (_content, _dialect, _rows) in CSV_CASES.items():
+    _cells = [(r, c, v) for r, row in enumerate(_rows) for c, v in enumerate(row)]
+    _add(
+        _name,
+        lambda spark, d, t=_content, x=_dialect: csvscan.fields(_case(spark, t), "content", keys=["case_id"], dialect=x).select("case_id", "row", "col", "value"),
+        " UNION ALL ".join(f"SELECT 1 AS case_id, CAST({r} AS BIGINT) AS row, {c} AS col, {_literal(v)} AS value" for r, c, v in _cells),
+    )
+_HEADED = "name,age\nAlice,30\nBob,25\n"
+_add("csv_header", lambda spark, d: csvscan.headers(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)).select("case_id", F.concat_ws("|", "headers").alias("headers")), "SELECT 1 AS case_id, 'name|age' AS headers")
+_add("csv_rows", lambda spark, d: csvscan.named(csvscan.rows(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)), ["name", "age"]), "SELECT 1 AS case_id, CAST(0 AS BIGINT) AS row, 'Alice' AS name, '30' AS age UNION ALL SELECT 1, 1, 'Bob', '25'")
+_add("csv_row_count", lambda spark, d: csvscan.row_count(_case(spark, "a\nb\r\nc\rd"), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(4 AS BIGINT) AS n_rows")
+_add("csv_token_row_count", lambda spark, d: csvscan.token_row_count(_case(spark, "a\nb\r\nc\rd"), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(2 AS BIGINT) AS n_rows")
+_add(
+    "csv_raw",
+    lambda spark, d: csvscan.fields(_case(spark, '"a,b",c\n'), "content", keys=["case_id"]).select("case_id", "col", "start", "end", "quoted", F.decode("raw", "UTF-8").alias("raw")),
+    "SELECT 1 AS case_id, 0 AS col, CAST(0 AS BIGINT) AS start, CAST(5 AS BIGINT) AS \"end\", true AS quoted, '\"a,b\"' AS raw UNION ALL SELECT 1, 1, 6, 7, false, 'c'",
+)
+_add("csv_tokens", lambda spark, d: csvscan.tokens(_table(spark, d, "pages"), "html", keys=["page_id"]), f"WITH {oracle.matches('pages', 'page_id', 'html', STRUCTURE)}, q AS (SELECT *, sum(CASE WHEN name = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) % 2 AS inside FROM m) SELECT page_id, pos, CASE name WHEN 'lf' THEN 'newline' ELSE name END AS token FROM q WHERE name = 'quote' OR inside = 0")
+
+
+def _roundtrip(spark: SparkSession, d: str, table: str, columns: list[str]) -> DataFrame:
+    lines = csvscan.to_csv(_table(spark, d, table), columns)
+    parsed = csvscan.rows(lines, "line", keys=[columns[0]])
+    return csvscan.named(parsed.where("row = 0").withColumnRenamed(columns[0], "key"), columns).drop("key", "row")
+
+
+_ORDERS, _DOCS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["doc_id", "text", "lang", "source"]
+_add("csv_roundtrip_orders", lambda spark, d: _roundtrip(spark, d, "orders", _ORDERS), f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _ORDERS)} FROM orders")
+_add("csv_roundtrip_documents", lambda spark, d: _roundtrip(spark, d, "documents", _DOCS), f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _DOCS)} FROM documents")
+_add(
+    "cost_model_fit",
+    lambda spark, d: stats.linear_fit(_table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")]),
+    "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem",
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
