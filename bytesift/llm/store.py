@@ -30,7 +30,7 @@ from .common import small_batches, text_or_empty
 from .encode import encoder
 
 ROLL = 16
-MIN_IDS, MEAN_IDS, MAX_IDS = 96, 384, 2048
+MIN_IDS, MEAN_IDS, MAX_IDS = 192, 768, 4096
 SHARD_DOCUMENTS = 65_536
 
 _B = 0x9E3779B97F4A7C15 | 1
