@@ -155,13 +155,13 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("g.gone"), s["i"]))
     text = F.when(F.col("g.gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(left["x"], "\n"))
     nothing = F.col("g.gone").isNotNull() & (F.trim(F.translate(F.array_join(left["x"], ""), "\n\r\t", "   ")) == "")
-    out = joined.where(~nothing).withColumn("__text", text)
+    out = joined.where(~nothing)
     kept = []
     for c in docs.columns:
         if c == text_col:
-            kept.append(F.col("__text").alias(c))
+            kept.append(text.alias(c))
         elif c == length_col:
-            kept.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
+            kept.append(F.length(text).cast(docs.schema[c].dataType).alias(c))
         else:
             kept.append(F.col(f"d.`{c}`").alias(c))
     return out.select(*kept)
