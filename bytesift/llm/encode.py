@@ -49,6 +49,8 @@ class Encoder:
         elif self.mode == "spaces dropped":  # a separator that no usual text has and that is one token
             ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
             self._mark = ids[0] if len(ids) == 1 else None
+            self._ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a run
+            self._ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _mode(self) -> str:
         """How pieces may be cut: learnt from the tokenizer's own description."""
@@ -92,6 +94,11 @@ class Encoder:
                 begin = (at + np.array([p[0] == "\0" for p in pieces])).tolist()
                 return [ids[a:b].tobytes() for a, b in zip(begin, [*at[1:].tolist(), len(ids)], strict=True)]
             return self._library([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in pieces])
+        if all(map(str.isalpha, pieces)):  # each is one run of letters
+            ids = np.frombuffer(self._library([" ".join(pieces)])[0], dtype=self.dtype)
+            at = (np.flatnonzero(self._ends[ids]) + 1).tolist()
+            if len(at) == len(pieces):
+                return [ids[a:b].tobytes() for a, b in zip([0, *at[:-1]], at, strict=True)]
         if self._mark is not None:
             ids = np.frombuffer(self._library([" \x01 ".join(pieces)])[0], dtype=self.dtype)
             at = np.flatnonzero(ids == self._mark).tolist()
@@ -109,8 +116,14 @@ class Encoder:
                 fresh.append(p)
             else:
                 self.cache[p] = b
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
+        if self.mode == "spaces dropped":  # runs of letters first, by themselves
+            letters = [p for p in fresh if p.isalpha()]
+            blocks = [letters[i : i + 2000] for i in range(0, len(letters), 2000)]
+            fresh = [p for p in fresh if not p.isalpha()]
+        else:
+            blocks = []
+        blocks += [fresh[i : i + 2000] for i in range(0, len(fresh), 2000)]
+        for part in blocks:
             self.cache.update(zip(part, self._pieces(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
