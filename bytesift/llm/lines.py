@@ -5,7 +5,7 @@ part). Equal lines are one: a line is known by its 64-bit hash. One XXH64 per sh
 places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. A band is
 three places; lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
 two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
-probability 0.991, one at 0.85 with 0.998, one at 0.9 with 0.9998.
+probability 0.991, one at 0.85 with 0.997, one at 0.9 with 0.9996.
 
 Within a bucket every line is held against the bucket's first; the exact Jaccard similarity decides. Lines that
 this leaves outside the bucket's largest component are held against that component's last line, and against the first of
