@@ -7,10 +7,16 @@ three places; lines that agree in a band meet in a bucket. Bands are the blocks
 two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
 probability 0.991, one at 0.85 with 0.997, one at 0.9 with 0.9996.
 
-Within a bucket every line is held against the bucket's first; the exact Jaccard similarity decides. Lines that
-this leaves outside the bucket's largest component are held against that component's last line, and against the first of
-their own kind. So a bucket costs at most three comparisons a line, never all its pairs; a link that none of a
-pair's buckets brings up this way is found only through other lines. Components come from distributed union-find
+Within a bucket every line is held against the bucket's first. Lines that this leaves outside the bucket's largest
+component are held against every line of the bucket that is in another component, so no link between lines of one bucket is
+lost. That is done in blocks: a bucket is a grid of BLOCK by BLOCK lines, each cell a join of its own, so a hot bucket
+spreads over tasks, and a line moves once per cell. A pair that shares several buckets is looked at in one of them.
+
+The exact Jaccard similarity decides. A bitmap of each line's shingles (by parity) goes before it and loses nothing: a bit
+that differs between two lines stands for a shingle that they do not share, so lines with more such bits than their
+sizes allow cannot be similar enough (public as the bitmap filter of set similarity joins). Cells emit only pairs that
+pass it. Of a line's pairs with one component two are verified first; of the others, those that then
+still lie in different components are verified too. Components come from distributed union-find
 (components.py); of each component the line that stands first (by id, then by place in the text) stays.
 """
 
@@ -32,6 +38,10 @@ SIMILARITY = 0.8
 BROADCAST_LINES = 600_000
 #: pairs of one line that one group verifies
 LEAVES = 2_000
+#: lines along each side of a cell of a bucket's grid, in the mean
+BLOCK = 512
+#: 64-bit words of a line's bitmap
+WORDS = 16
 #: groups that a task's aggregation of shingle lists holds in memory before it sorts
 LISTS = 20_000
 
@@ -96,6 +106,57 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.col("common") >= SIMILARITY * union).select("x", "y")
 
 
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """node, n (distinct shingles), w0 ...: WORDS words, a bit being the parity of the shingles whose hash falls on it."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _shingles(texts.repartition(parts, "node"), "node").groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.expr(f"(h >> 6) & {WORDS - 1}")
+    marked = each.select("node", bit.alias("bit"), word.alias("word"))
+    none = F.lit(0).cast("long")
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(none)).alias(f"w{w}") for w in range(WORDS)]
+    return marked.groupBy("node").agg(F.count("*").alias("n"), *words)
+
+
+def _side(maps: DataFrame, name: str) -> DataFrame:
+    """maps with name for the node, and name before its other columns."""
+    return maps.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in maps.columns if c != "node"])
+
+
+def _possible() -> Column:
+    """Whether the bitmaps of x and y allow the similarity: of sizes xn + yn, at most a ninth may be unshared (common / union >= 4 / 5)."""
+    bits = [F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(WORDS)]
+    return (5 * F.col("xn") >= 4 * F.col("yn")) & (5 * F.col("yn") >= 4 * F.col("xn")) & (9 * sum(bits[1:], bits[0]) <= F.col("xn") + F.col("yn"))
+
+
+def _left_apart(shared: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
+    """x, y, xroot, yroot: pairs of lines of one bucket that are in different components and may be similar.
+
+    All of them, from one bucket each.
+
+    i numbers the blocks of the lines outside the largest component (x), j those of all lines (y).
+    """
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    by_root = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    grids = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
+    grids = grids.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("js"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("is"))
+    mixed = materialize(named.join(grids, "key"), "mixed-buckets")
+    keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one per band
+    known = mixed.join(maps.join(keys, "node"), "node")
+    place = F.xxhash64(F.lit("block"), "node")
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    outside = known.where("root <> main").withColumn("i", F.pmod(place, "is")).withColumn("j", upto("js")).drop("is", "js")
+    every = known.withColumn("j", F.pmod(place, "js")).withColumn("i", upto("is")).drop("is", "js")
+    x = _side(outside, "x").repartition(parts, "xkey", "xi", "xj")
+    y = _side(every, "y").repartition(parts, "ykey", "yi", "yj")
+    cell = (F.col("xkey") == F.col("ykey")) & (F.col("xi") == F.col("yi")) & (F.col("xj") == F.col("yj"))
+    once = ((F.col("yroot") == F.col("ymain")) | (F.col("x") < F.col("y"))) & (F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("xkey"))
+    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _possible() & once).select("x", "y", "xroot", "yroot")
+
+
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for lines (by the hash a) that are near-duplicates of a different line; root is the component's smallest node."""
     docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(LISTS))
@@ -103,21 +164,22 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = materialize(_buckets(lines), "buckets")
     stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
     texts = materialize(_texts(lines, shared.select("node").distinct()), "candidate-lines")
-    links = materialize(_verified(stars, texts), "line-links")
+    maps = materialize(_bitmaps(texts), "line-bitmaps")
+    stars = stars.join(_side(maps, "x"), "x").join(_side(maps, "y"), "y").where(_possible()).select("x", "y")
+    links = materialize(_verified(materialize(stars, "line-pairs"), texts), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
-    # what the stars leave apart: lines of a bucket in other components than most of it
-    named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = materialize(named.join(least.where("lo <> hi"), "key").select("key", "node", "root"), "mixed-buckets")
-    # per root the last node and the number of lines; the largest root is the bucket's main one
-    by_root = mixed.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("node").alias("last"))
-    main = by_root.groupBy("key").agg(F.max(F.struct("n", "root", "last")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.last").alias("last"))
-    apart = materialize(mixed.join(main, "key").where("root <> main").select("key", "node", "last"), "apart")
-    own = apart.groupBy("key").agg(F.min("node").alias("lead"))
-    second = apart.select(F.col("last").alias("x"), F.col("node").alias("y")).unionByName(apart.join(own, "key").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y")))
-    ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    fresh = second.select(*ordered).distinct().join(stars.select(*ordered), ["x", "y"], "left_anti")
-    more = materialize(_verified(fresh, texts), "line-links")
+    apart = materialize(_left_apart(shared, roots, maps), "line-pairs")
+    early = apart.groupBy("x", "yroot").agg(F.array(F.min("y"), F.max("y")).alias("two")).select("x", F.explode(F.array_distinct("two")).alias("y"))
+    early = materialize(early, "line-pairs")
+    more = materialize(_verified(early, texts), "line-links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = materialize(connected_components(links, "x", "y"), "line-roots")
+    for side in ("x", "y"):
+        now = roots.select(F.col("node").alias(side), F.col("root").alias("now"))
+        apart = apart.join(now, side, "left").withColumn(f"{side}root", F.coalesce("now", f"{side}root")).drop("now")
+    rest = apart.where("xroot <> yroot").select("x", "y").join(early, ["x", "y"], "left_anti")
+    more = materialize(_verified(materialize(rest, "line-pairs"), texts), "line-links")
     if more.limit(1).count() == 0:
         return roots
     return connected_components(links.unionByName(more), "x", "y")
