@@ -22,6 +22,9 @@ still lie in different components are verified too. Components come from distrib
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,6 @@ LEAVES = 2_000
 BLOCK = 512
 #: 64-bit words of a line's bitmap
 WORDS = 16
-#: groups that a task's aggregation of shingle lists holds in memory before it sorts
-LISTS = 20_000
 
 #: odd steps of the golden ratio of 2**64: any distinct values serve as salts
 _SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(PLACES)]
@@ -55,20 +56,33 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return parts.where(F.trim("line") != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"))
 
 
-def _shingles(lines: DataFrame, *keep: str) -> DataFrame:
+class Shingles(NamedTuple):
+    """How a text is cut: column line to column data, the number of shingles of data, and the hash of the one at i (from 1)."""
+
+    data: Callable[[], Column]
+    count: Callable[[], Column]
+    hash: Callable[[], Column]
+    #: groups that a task's aggregation of shingle lists holds in memory before it sorts
+    lists: int
+
+
+OF_LINES = Shingles(lambda: F.encode("line", "UTF-8"), lambda: F.octet_length("data") - SHINGLE + 1, lambda: F.xxhash64(F.expr(f"substring(data, i, {SHINGLE})")), 20_000)
+
+
+def _shingles(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
     """keep, and h: the hash of each shingle of column line, one row each."""
-    data = lines.select(*keep, F.encode("line", "UTF-8").alias("data"))
-    each = data.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("data") - SHINGLE + 1, F.lit(1)))).alias("i"))
-    return each.select(*keep, F.xxhash64(F.expr(f"substring(data, i, {SHINGLE})")).alias("h"))
+    data = lines.select(*keep, how.data().alias("data"))
+    each = data.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.greatest(how.count(), F.lit(1)))).alias("i"))
+    return each.select(*keep, how.hash().alias("h"))
 
 
-def _buckets(lines: DataFrame) -> DataFrame:
+def _buckets(how: Shingles, lines: DataFrame) -> DataFrame:
     """key, node, first, n: lines that share a band with another line, the bucket's smallest line, and its number of lines.
 
     Signatures are combined where lines are read; what is moved is one row per line and task, then one per line and band.
     """
     places = [F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SALTS)]
-    signatures = _shingles(lines, "a").groupBy("a").agg(*places)
+    signatures = _shingles(how, lines, "a").groupBy("a").agg(*places)
     bands = [F.xxhash64(F.lit(j), *[f"m{m}" for m in band]) for j, band in enumerate(BANDS)]
     keyed = signatures.select(F.col("a").alias("node"), F.explode(F.array(*bands)).alias("key"))
     together = Window.partitionBy("key")
@@ -87,7 +101,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (x, y) those whose exact Jaccard similarity is at least SIMILARITY.
 
     Texts are moved, never sets: x's set is made once for every LEAVES of its pairs, where those have been sent.
@@ -96,20 +110,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     centers = pairs.groupBy("x").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
     dealt = pairs.join(centers, "x").select("x", "y", F.pmod("y", "salts").alias("salt"))
     y = dealt.join(texts.select(F.col("node").alias("y"), "line"), "y").repartition(parts, "x", "salt")
-    y = _shingles(y, "x", "salt", "y").groupBy("x", "salt", "y").agg(F.collect_list("h").alias("sy"))  # one line's shingles
+    y = _shingles(how, y, "x", "salt", "y").groupBy("x", "salt", "y").agg(F.collect_list("h").alias("sy"))  # one line's shingles
     x = centers.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     x = x.join(texts.select(F.col("node").alias("x"), "line"), "x").repartition(parts, "x", "salt")
-    x = _shingles(x, "x", "salt").groupBy("x", "salt").agg(F.array_distinct(F.collect_list("h")).alias("sx"))
+    x = _shingles(how, x, "x", "salt").groupBy("x", "salt").agg(F.array_distinct(F.collect_list("h")).alias("sx"))
     both = _once(y.join(x, ["x", "salt"]), "common", F.size(F.array_intersect("sx", "sy")))
     both = both.where(F.col("common") >= SIMILARITY * F.size("sx"))  # x alone rules it out otherwise
     union = F.size("sx") + F.size(F.array_distinct("sy")) - F.col("common")
     return both.where(F.col("common") >= SIMILARITY * union).select("x", "y")
 
 
-def _bitmaps(texts: DataFrame) -> DataFrame:
+def _bitmaps(how: Shingles, texts: DataFrame) -> DataFrame:
     """node, n (distinct shingles), w0 ...: WORDS words, a bit being the parity of the shingles whose hash falls on it."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = _shingles(texts.repartition(parts, "node"), "node").groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
+    each = _shingles(how, texts.repartition(parts, "node"), "node").groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
     bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.expr(f"(h >> 6) & {WORDS - 1}")
     marked = each.select("node", bit.alias("bit"), word.alias("word"))
     none = F.lit(0).cast("long")
@@ -159,19 +173,23 @@ def _left_apart(shared: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFra
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for lines (by the hash a) that are near-duplicates of a different line; root is the component's smallest node."""
-    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(LISTS))
-    lines = lines_of(docs, id_col, text_col).select("a", "line")
-    shared = materialize(_buckets(lines), "buckets")
+    return near_sets(OF_LINES, lines_of(docs, id_col, text_col).select("a", "line"))
+
+
+def near_sets(how: Shingles, lines: DataFrame) -> DataFrame:
+    """near_lines() of any texts: a, line (the text; equal texts share a), cut into shingles as how says."""
+    lines.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(how.lists))
+    shared = materialize(_buckets(how, lines), "buckets")
     stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
     texts = materialize(_texts(lines, shared.select("node").distinct()), "candidate-lines")
-    maps = materialize(_bitmaps(texts), "line-bitmaps")
+    maps = materialize(_bitmaps(how, texts), "line-bitmaps")
     stars = stars.join(_side(maps, "x"), "x").join(_side(maps, "y"), "y").where(_possible()).select("x", "y")
-    links = materialize(_verified(materialize(stars, "line-pairs"), texts), "line-links")
+    links = materialize(_verified(how, materialize(stars, "line-pairs"), texts), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
     apart = materialize(_left_apart(shared, roots, maps), "line-pairs")
     early = apart.groupBy("x", "yroot").agg(F.array(F.min("y"), F.max("y")).alias("two")).select("x", F.explode(F.array_distinct("two")).alias("y"))
     early = materialize(early, "line-pairs")
-    more = materialize(_verified(early, texts), "line-links")
+    more = materialize(_verified(how, early, texts), "line-links")
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = materialize(connected_components(links, "x", "y"), "line-roots")
@@ -179,7 +197,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         now = roots.select(F.col("node").alias(side), F.col("root").alias("now"))
         apart = apart.join(now, side, "left").withColumn(f"{side}root", F.coalesce("now", f"{side}root")).drop("now")
     rest = apart.where("xroot <> yroot").select("x", "y").join(early, ["x", "y"], "left_anti")
-    more = materialize(_verified(materialize(rest, "line-pairs"), texts), "line-links")
+    more = materialize(_verified(how, materialize(rest, "line-pairs"), texts), "line-links")
     if more.limit(1).count() == 0:
         return roots
     return connected_components(links.unionByName(more), "x", "y")

@@ -171,7 +171,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Of each component the row with the smallest id stays (nulls last; of rows tied in the id, that with the smallest text hash; of repeated rows, one)."""
-    rows = materialize(near_groups(docs, id_col, text_col, shingle), "simhash-groups")
+    return keep_first(docs, materialize(near_groups(docs, id_col, text_col, shingle), "simhash-groups"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that drop_near_duplicates() keeps, given rows: the row_keys() of docs, and root (the component)."""
     one = F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("i"), F.col("__t1").alias("s"), F.col("__t2").alias("t"))
     best = rows.groupBy("root").agg(F.min(one).alias("best"))
     kept = best.select(F.col("best.i").alias("__id"), F.col("best.s").alias("__t1"), F.col("best.t").alias("__t2"))

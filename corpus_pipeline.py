@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the first four t
 documents, the last the packed pieces. run() writes each stage's result as Parquet and reads it again as the next one's docs.
 
 A stage's defined results for odd rows: documents with a null or empty text pass the first two stages as they are; of all
-such texts, which share one fingerprint, the third keeps one; no stage fails on null ids, repeated rows,
+such texts, which have the same (no) words, the third keeps one; no stage fails on null ids, repeated rows,
 empty tables or further columns. A document without a token but the end id is one packed piece.
 """
 
@@ -16,8 +16,8 @@ from bytesift.llm.common import materialize
 from bytesift.llm.decontaminate import drop_contaminated
 from bytesift.llm.encode import vocabulary
 from bytesift.llm.lines import drop_near_lines
+from bytesift.llm.near_documents import drop_near_documents
 from bytesift.llm.packing import pack_documents
-from bytesift.llm.simhash import drop_near_duplicates
 from bytesift.llm.toxicity import drop_toxic, fit
 
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints (shingles of five words) the document with the smallest id stays."""
-    return drop_near_duplicates(docs, shingle=5)
+    """Of documents linked by an exact Jaccard similarity of 0.8 or more (shingles of five words) the one with the smallest id stays."""
+    return drop_near_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
