@@ -5,7 +5,7 @@ part). Equal lines are one: a line is known by its 64-bit hash. One XXH64 per sh
 places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. A band is
 three places; lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
 two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
-probability 0.991, one at 0.85 with 0.997, one at 0.9 with 0.9996.
+probability 0.9992, one at 0.85 with 0.9999 (independent places taken for granted).
 
 Within a bucket every line is held against the bucket's first. Lines that this leaves outside the bucket's largest
 component are held against every line of the bucket that is in another component, so no link between lines of one bucket is
@@ -33,7 +33,7 @@ from .components import connected_components
 
 SHINGLE = 10
 #: places form three rows of SIDE; band (x, s) takes place x of the first row, x + s of the second, 2 x + s of the third
-SIDE, DIAGONALS = 4, 3
+SIDE, DIAGONALS = 6, 3
 PLACES = 3 * SIDE
 BANDS = [(x, SIDE + (x + s) % SIDE, 2 * SIDE + (2 * x + s) % SIDE) for x in range(SIDE) for s in range(DIAGONALS)]
 SIMILARITY = 0.8
