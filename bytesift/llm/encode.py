@@ -2,13 +2,15 @@
 
 Both public tokenizers cut a text at white space before their merges, so the ids of a text are the ids
 of its pieces in order. A piece is encoded by the library once and kept; texts in which the cut could
-matter (runs of white space, white space at an end, rare separators) are encoded whole. The result
-equals encoding every text whole; a test holds it so.
+matter (runs of white space, white space at an end, rare separators, the content of an added token, marks and
+other text that NFC may change before it is lowered) are encoded whole. The result equals encoding every text whole by the
+unaltered library with add_special_tokens=False; tests hold it so.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,22 @@ _ENDS = (" ", "\n")
 _ODD_SPACE = re.compile("[\x01\x1c-\x1f\x85\u180e\u200b-\u200f\u2028-\u202e\u2060\ufeff]")
 
 
+@lru_cache(maxsize=1)
+def _moving() -> np.ndarray:
+    """By code point: whether NFC may change it or join it to what stands before; beyond the table's planes, always."""
+    table = np.ones(0x30000 + 1, dtype=bool)
+    table[:0x30000] = [unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or not unicodedata.is_normalized("NFC", c) for c in map(chr, range(0x30000))]
+    return table
+
+
+def _stays(text: str) -> bool:
+    """Whether NFC leaves the text as it is, lowered or not."""
+    if text.isascii():
+        return True
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return not _moving()[np.minimum(codes, 0x30000)].any()
+
+
 class Encoder:
     """encode(texts) gives one little-endian uint16 (or uint32) array per text."""
 
@@ -34,13 +52,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mode = self._mode()
         if self.mode != "whole":  # pieces seldom come twice to the library, whose own cache would only cost
             self.tokenizer.model._resize_cache(0)
+        added = [t["content"] for t in self._description.get("added_tokens") or [] if t["content"]]
+        if any(re.search(r"\s", t) for t in added):  # could arise where pieces meet
+            self.mode = "whole"
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self._mark = None
         if self.mode == "spaces kept":  # the tokens that begin a piece: with a space, or a line end
             begins = [i for t, i in self.tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]
@@ -56,7 +77,7 @@ class Encoder:
         """How pieces may be cut: learnt from the tokenizer's own description."""
         import json
 
-        d = json.loads(self.tokenizer.to_str())
+        d = self._description = json.loads(self.tokenizer.to_str())
         pre, norm = d.get("pre_tokenizer") or {}, d.get("normalizer")
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             return "spaces kept"
@@ -72,13 +93,15 @@ class Encoder:
         return out
 
     def _cut(self, text: str) -> list[str] | None:
+        if self._added.search(text):
+            return None
         if self.mode == "spaces kept":
             if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text or text[0] in _ENDS or text[-1] in _ENDS or _NOT_PLAIN.search(text):
                 return None
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\0" + pieces[0]  # \0: has no space before it
             return pieces
-        if self.mode == "spaces dropped" and not _ODD_SPACE.search(text):
+        if self.mode == "spaces dropped" and not _ODD_SPACE.search(text) and _stays(text):
             if "\u03a3" not in text and "\u0130" not in text:  # else lower() looks at their neighbours
                 text = text.lower()
             return text.split()
