@@ -62,6 +62,11 @@ def drop_scratch(df: DataFrame) -> None:
     remove(df.sparkSession, df._bytesift_path)  # type: ignore[attr-defined]
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark deletes the shuffle files of queries that are done."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -1,11 +1,11 @@
 """Fuzzy line dedup by MinHash, by DataFrame functions alone.
 
-A line is the set of its byte shingles of SHINGLE bytes (a shorter line is one shingle; blank lines take no
-part). Equal lines are one: a line is known by its 64-bit hash. One XXH64 per shingle serves all PLACES signature
+A line is the set of its shingles of SHINGLE characters (code points; a shorter line is one shingle; blank lines take no
+part). One letter changed inside a line of 49 characters or more leaves it at SIMILARITY. Equal lines are one: a line is known by its 64-bit hash. One XXH64 per shingle serves all PLACES signature
 places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. A band is
-three places; lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
+four places (of three, short shingles bring too many unlike lines together); lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
 two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
-probability 0.9992, one at 0.85 with 0.9999 (independent places taken for granted).
+probability 0.9996, one at 0.85 with 0.9999 (independent places taken for granted).
 
 Within a bucket every line is held against the bucket's first. Lines that this leaves outside the bucket's largest
 component are held against every line of the bucket that is in another component, so no link between lines of one bucket is
@@ -28,14 +28,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import clean_shuffles, materialize, text_or_empty
 from .components import connected_components
 
-SHINGLE = 10
-#: places form three rows of SIDE; band (x, s) takes place x of the first row, x + s of the second, 2 x + s of the third
-SIDE, DIAGONALS = 6, 3
-PLACES = 3 * SIDE
-BANDS = [(x, SIDE + (x + s) % SIDE, 2 * SIDE + (2 * x + s) % SIDE) for x in range(SIDE) for s in range(DIAGONALS)]
+SHINGLE = 5
+#: places form ROWS rows of SIDE (a prime); band (x, s) takes place k x + s of row k, and place x of row 0
+ROWS, SIDE, DIAGONALS = 4, 7, 4
+PLACES = ROWS * SIDE
+BANDS = [(x, *(k * SIDE + (k * x + s) % SIDE for k in range(1, ROWS))) for x in range(SIDE) for s in range(DIAGONALS)]
 SIMILARITY = 0.8
 #: line ids up to which their table is broadcast to the texts (24 bytes each)
 BROADCAST_LINES = 600_000
@@ -45,6 +45,8 @@ LEAVES = 2_000
 BLOCK = 512
 #: 64-bit words of a line's bitmap
 WORDS = 16
+#: words that such a bitmap is folded to (by parity, which loses nothing either) where many pairs are looked at first
+FEW_WORDS = 4
 
 #: odd steps of the golden ratio of 2**64: any distinct values serve as salts
 _SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(PLACES)]
@@ -66,7 +68,8 @@ class Shingles(NamedTuple):
     lists: int
 
 
-OF_LINES = Shingles(lambda: F.encode("line", "UTF-8"), lambda: F.octet_length("data") - SHINGLE + 1, lambda: F.xxhash64(F.expr(f"substring(data, i, {SHINGLE})")), 20_000)
+# UTF-32: four bytes a code point
+OF_LINES = Shingles(lambda: F.encode("line", "UTF-32"), lambda: (F.octet_length("data") / 4).cast("int") - SHINGLE + 1, lambda: F.xxhash64(F.expr(f"substring(data, 4 * i - 3, {4 * SHINGLE})")), 20_000)
 
 
 def _shingles(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
@@ -136,9 +139,15 @@ def _side(maps: DataFrame, name: str) -> DataFrame:
     return maps.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in maps.columns if c != "node"])
 
 
-def _possible() -> Column:
+def _folded(maps: DataFrame) -> DataFrame:
+    """maps with FEW_WORDS words: what falls on one bit by the lower bits of its place."""
+    words = [F.expr(" ^ ".join(f"w{v}" for v in range(w, WORDS, FEW_WORDS))).alias(f"w{w}") for w in range(FEW_WORDS)]
+    return maps.select("node", "n", *words)
+
+
+def _possible(words: int = WORDS) -> Column:
     """Whether the bitmaps of x and y allow the similarity: of sizes xn + yn, at most a ninth may be unshared (common / union >= 4 / 5)."""
-    bits = [F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(WORDS)]
+    bits = [F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(words)]
     return (5 * F.col("xn") >= 4 * F.col("yn")) & (5 * F.col("yn") >= 4 * F.col("xn")) & (9 * sum(bits[1:], bits[0]) <= F.col("xn") + F.col("yn"))
 
 
@@ -180,13 +189,18 @@ def near_sets(how: Shingles, lines: DataFrame) -> DataFrame:
     """near_lines() of any texts: a, line (the text; equal texts share a), cut into shingles as how says."""
     lines.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(how.lists))
     shared = materialize(_buckets(how, lines), "buckets")
+    clean_shuffles(lines.sparkSession)
     stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
     texts = materialize(_texts(lines, shared.select("node").distinct()), "candidate-lines")
     maps = materialize(_bitmaps(how, texts), "line-bitmaps")
-    stars = stars.join(_side(maps, "x"), "x").join(_side(maps, "y"), "y").where(_possible()).select("x", "y")
+    clean_shuffles(lines.sparkSession)
+    few = _folded(maps)
+    stars = stars.join(_side(few, "x"), "x").join(_side(few, "y"), "y").where(_possible(FEW_WORDS)).select("x", "y")
     links = materialize(_verified(how, materialize(stars, "line-pairs"), texts), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
+    clean_shuffles(lines.sparkSession)
     apart = materialize(_left_apart(shared, roots, maps), "line-pairs")
+    clean_shuffles(lines.sparkSession)
     early = apart.groupBy("x", "yroot").agg(F.array(F.min("y"), F.max("y")).alias("two")).select("x", F.explode(F.array_distinct("two")).alias("y"))
     early = materialize(early, "line-pairs")
     more = materialize(_verified(how, early, texts), "line-links")
