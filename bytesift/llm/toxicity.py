@@ -12,6 +12,7 @@ hash of their ids; scoring covers all rows and whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from .common import materialize, small_batches, text_or_empty
 
@@ -162,7 +163,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, fl
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
     """A lexicon from the labelled rows whose crc32(id as text) mod 5 is not 0, at most fit_rows of them.
 
-    Rows without a label, an id or a text are not used; of texts that begin alike one is (copies would pass for evidence).
+    Rows without a label, an id or a text are not used; of texts that fold to the same words one is, the smallest (copies would pass for evidence).
     Too few labels: the seed terms with the default curve.
     """
     spark = docs.sparkSession
@@ -170,8 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     mine = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     mine = mine.where(~held_out("__id")).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(mine), "__id").withColumn("head", F.lower(F.substring("text", 1, 48)))  # at most fit_rows ids
-    sample = materialize(sample.dropDuplicates(["head", "y"]).select("text", "y"), "labelled")
+    sample = texts.join(F.broadcast(mine), "__id")  # at most fit_rows ids
+
+    @F.pandas_udf(BinaryType())
+    def form(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.blake2b(fold(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts])
+
+    sample = materialize(sample.groupBy(form("text").alias("form"), "y").agg(F.min("text").alias("text")).select("text", "y"), "labelled")
     counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     seeds = {f" {fold(t).strip()} ": 1.0 for t in SEED_TERMS}
