@@ -276,6 +276,38 @@ _add(
     "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem",
 )
 
+# CSV over whole tables: counts by row ends outside quotes, and raw fields of the documents' CSV lines
+
+_ENDS = f"WITH {oracle.matches('pages', 'page_id', 'html', STRUCTURE)}, q AS (SELECT *, sum(CASE WHEN name = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) % 2 AS inside FROM m)"
+_add(
+    "csv_row_count_pages",
+    lambda spark, d: csvscan.row_count(_table(spark, d, "pages"), "html", keys=["page_id"]),
+    f"{_ENDS}, e AS (SELECT page_id, pos, name, lag(CASE WHEN name = 'cr' THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) AS cr FROM q WHERE inside = 0 AND name IN ('lf', 'cr')), "
+    "n AS (SELECT page_id, max(pos) AS last, count(*) FILTER (WHERE name = 'cr' OR cr IS NULL OR cr <> pos - 1) AS n FROM e GROUP BY page_id) "
+    "SELECT page_id, CAST(coalesce(n, 0) + CASE WHEN strlen(html) > coalesce(last, -1) + 1 THEN 1 ELSE 0 END AS BIGINT) AS n_rows FROM pages LEFT JOIN n USING (page_id) WHERE strlen(html) > 0",
+)
+_add(
+    "csv_token_row_count_pages",
+    lambda spark, d: csvscan.token_row_count(_table(spark, d, "pages"), "html", keys=["page_id"]),
+    f"{_ENDS} SELECT page_id, CAST(count(*) FILTER (WHERE name = 'lf') AS BIGINT) AS n_rows FROM q WHERE name = 'quote' OR inside = 0 GROUP BY page_id",
+)
+
+
+def _raw_documents(spark: SparkSession, d: str) -> DataFrame:
+    lines = csvscan.to_csv(_table(spark, d, "documents"), _DOCS)
+    return csvscan.fields(lines, "line", keys=["doc_id"]).select("doc_id", "col", "start", "end", "quoted", F.decode("raw", "UTF-8").alias("raw"))
+
+
+_CELLS = ", ".join(f"CASE WHEN regexp_matches(v{i}, '[\",\\n\\r]') THEN '\"' || replace(v{i}, '\"', '\"\"') || '\"' ELSE v{i} END" for i in range(len(_DOCS)))
+_add(
+    "csv_raw_documents",
+    _raw_documents,
+    f"WITH v AS (SELECT doc_id, {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS v{i}" for i, c in enumerate(_DOCS))} FROM documents), "
+    f"c AS (SELECT doc_id, unnest([{_CELLS}]) AS raw, unnest(range({len(_DOCS)})) AS col FROM v), "
+    "p AS (SELECT *, CAST(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY col) - strlen(raw) - 1 AS BIGINT) AS start FROM c) "
+    "SELECT doc_id, CAST(col AS INTEGER) AS col, start, CAST(start + strlen(raw) AS BIGINT) AS \"end\", raw LIKE '\"%' AS quoted, raw FROM p",
+)
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
