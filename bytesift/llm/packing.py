@@ -1,7 +1,8 @@
 """Best-fit packing of token ids into sequences of a fixed length.
 
 Documents longer than a sequence are cut into pieces of full length, the first piece taking the rest. A full
-piece is a sequence of its own. The others are placed by bounded-space online best fit: at most
+piece is a sequence of its own. The others are placed by best fit, group by group and longest first: offline best-fit
+decreasing takes the place of bounded-space online best fit. BestFit itself is online and bounded: at most
 OPEN_BINS sequences are open; an integer's bits mark which amounts of free space some open sequence has,
 so the tightest fit is the lowest set bit at or above the piece's length. Where no open sequence fits and
 all places are taken, the fullest closes first.
@@ -9,8 +10,8 @@ all places are taken, the fullest closes first.
 Pieces are dealt to groups by a hash; a group's size is set (GROUP_PIECES), so their number grows with the
 input. Each group is packed by itself, the longest pieces first (as they come, best fit needs about 2 %
 more sequences for the short pieces; longest first, under 0.1 % more than the ids fill), ties in the
-order of the hash: a lost task packs again to the same places. A group seldom opens more than
-OPEN_BINS sequences at a time, so closing early is the exception.
+order of the hash: a lost task packs again to the same places. A group of GROUP_PIECES cannot open OPEN_BINS
+sequences, so none closes early unless a group is far larger than that.
 """
 
 from __future__ import annotations
