@@ -62,6 +62,14 @@ def drop_scratch(df: DataFrame) -> None:
     remove(df.sparkSession, df._bytesift_path)  # type: ignore[attr-defined]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def clean_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage, so that Spark deletes the shuffle files of queries that are done."""
     spark.sparkContext._jvm.System.gc()
@@ -88,15 +96,14 @@ def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs whose row_keys() are in keys (__id, __t1, __t2, __n); of repeated rows (__n > 1) one stays.
 
-    All columns of docs come back, and no other.
+    All columns of docs come back, whatever their names, and no other.
     """
-    k = row_keys(docs, id_col, text_col)
-    marked = docs.withColumns({"__t1": k[1], "__t2": k[2]}).alias("d")
-    keys = keys.alias("k")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("k.__id")) & (F.col("d.__t1") == F.col("k.__t1")) & (F.col("d.__t2") == F.col("k.__t2"))
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    once = marked.join(keys.where("__n = 1"), on, "left_semi").select(*names)
+    row = fresh(docs, "row")
+    marked = docs.withColumn(row, F.struct(*row_keys(docs, id_col, text_col))).alias("d")
+    r, keys = F.col(f"d.`{row}`"), keys.alias("k")
+    on = r["__id"].eqNullSafe(F.col("k.__id")) & (r["__t1"] == F.col("k.__t1")) & (r["__t2"] == F.col("k.__t2"))
+    once = marked.join(keys.where("__n = 1"), on, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
     if keys.where("__n > 1").limit(1).count() == 0:
         return once
-    again = marked.join(keys.where("__n > 1"), on, "left_semi").dropDuplicates([id_col, "__t1", "__t2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = marked.join(keys.where("__n > 1"), on, "left_semi").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return once.unionByName(again)

@@ -1,23 +1,24 @@
 """Fuzzy line dedup by MinHash, by DataFrame functions alone.
 
 A line is the set of its shingles of SHINGLE characters (code points; a shorter line is one shingle; blank lines take no
-part). One letter changed inside a line of 49 characters or more leaves it at SIMILARITY. Equal lines are one: a line is known by its 64-bit hash. One XXH64 per shingle serves all PLACES signature
-places: place j is the least value of hash XOR salt j, so equal places estimate the Jaccard similarity. A band is
-four places (of three, short shingles bring too many unlike lines together); lines that agree in a band meet in a bucket. Bands are the blocks of a design in which
-two bands share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with
-probability 0.9996, one at 0.85 with 0.9999 (independent places taken for granted).
-
-Within a bucket every line is held against the bucket's first. Lines that this leaves outside the bucket's largest
-component are held against every line of the bucket that is in another component, so no link between lines of one bucket is
-lost. That is done in blocks: a bucket is a grid of BLOCK by BLOCK lines, each cell a join of its own, so a hot bucket
+part). One letter changed inside a line of 49 characters or more leaves it at SIMILARITY. Equal lines are one: a line is
+known by its 128-bit hash. One XXH64 per shingle serves all PLACES signature places: place j is the least value of
+hash XOR salt j, so equal places estimate the Jaccard similarity. Shingles are taken in blocks of BLOCK_SHINGLES, each
+block's least values by expressions, so that the aggregation has one row per block.
+
+A band is ROWS places; lines that agree in a band meet in a bucket. Bands are the blocks of a design in which two bands
+share one place at most, so few places serve many bands: a pair at similarity 0.8 meets with probability 0.9986, one at
+0.85 with 0.9999 (independent places taken for granted).
+
+Within a bucket a pair goes on if AGREE of its PLACES agree in their low eight bits; a pair at similarity 0.8 fails this
+with a probability of 0.0005, one at 0.85 with 0.000005. Every line is held against the bucket's first. Then all lines of buckets that
+still lie in several components are held against those outside the largest one, so that no pair of one bucket is left out.
+That is done in cells: a bucket is a grid of BLOCK by BLOCK lines, each cell a join of its own, so a hot bucket
 spreads over tasks, and a line moves once per cell. A pair that shares several buckets is looked at in one of them.
 
-The exact Jaccard similarity decides. A bitmap of each line's shingles (by parity) goes before it and loses nothing: a bit
-that differs between two lines stands for a shingle that they do not share, so lines with more such bits than their
-sizes allow cannot be similar enough (public as the bitmap filter of set similarity joins). Cells emit only pairs that
-pass it. Of a line's pairs with one component two are verified first; of the others, those that then
-still lie in different components are verified too. Components come from distributed union-find
-(components.py); of each component the line that stands first (by id, then by place in the text) stays.
+The exact Jaccard similarity of the shingle sets decides. Of a line's pairs with one component two are verified first; of the
+others, those that then still lie in different components are verified too. Components come from distributed union-find
+(components.py); of each component the line that stands first (by id, then by the text's hash, then by place) stays.
 """
 
 from __future__ import annotations
@@ -25,231 +26,259 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_shuffles, materialize, text_or_empty
+from .common import clean_shuffles, fresh, materialize, row_keys
 from .components import connected_components
 
 SHINGLE = 5
-#: places form ROWS rows of SIDE (a prime); band (x, s) takes place k x + s of row k, and place x of row 0
-ROWS, SIDE, DIAGONALS = 4, 7, 4
+#: places form ROWS rows of SIDE (a prime); band (s, x) takes place k x + s of row k, and place x of row 0
+ROWS, SIDE = 5, 7
 PLACES = ROWS * SIDE
-BANDS = [(x, *(k * SIDE + (k * x + s) % SIDE for k in range(1, ROWS))) for x in range(SIDE) for s in range(DIAGONALS)]
+BANDS = [(x, *(k * SIDE + (k * x + s) % SIDE for k in range(1, ROWS))) for s in range(SIDE) for x in range(SIDE)][:30]
 SIMILARITY = 0.8
+#: places of a pair that have to agree for its sets to be compared
+AGREE = 20
+#: shingles of one row of the aggregation
+BLOCK_SHINGLES = 16
 #: line ids up to which their table is broadcast to the texts (24 bytes each)
-BROADCAST_LINES = 600_000
-#: pairs of one line that one group verifies
+BROADCAST_LINES = 400_000
+#: pairs of one line that one task verifies
 LEAVES = 2_000
 #: lines along each side of a cell of a bucket's grid, in the mean
 BLOCK = 512
-#: 64-bit words of a line's bitmap
-WORDS = 16
-#: words that such a bitmap is folded to (by parity, which loses nothing either) where many pairs are looked at first
-FEW_WORDS = 4
+#: places, of eight bits, in one word of a sketch
+_PACKED = 7
 
 #: odd steps of the golden ratio of 2**64: any distinct values serve as salts
 _SALTS = [(j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) - (1 << 63) for j in range(PLACES)]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line, and its hash a, without blank lines. A null text has no line."""
-    parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return parts.where(F.trim("line") != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"))
+    """doc_id, t1, t2 (the text's hash), line_no (from 0), line, and its hash a1, a2, without blank lines. A null text has no line."""
+    key, t1, t2 = row_keys(docs, id_col, text_col)
+    parts = docs.where(F.col(text_col).isNotNull()).select(key.alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    return parts.where(F.trim("line") != "").select("doc_id", "t1", "t2", "line_no", "line", F.xxhash64("line").alias("a1"), F.xxhash64(F.lit(1), "line").alias("a2"))
 
 
 class Shingles(NamedTuple):
-    """How a text is cut: column line to column data, the number of shingles of data, and the hash of the one at i (from 1)."""
+    """How a text is cut: column line to column data, the number of shingles of data, and the hash of the one at a place (from 1)."""
 
     data: Callable[[], Column]
     count: Callable[[], Column]
-    hash: Callable[[], Column]
-    #: groups that a task's aggregation of shingle lists holds in memory before it sorts
-    lists: int
+    hash: Callable[[Column], Column]
 
 
 # UTF-32: four bytes a code point
-OF_LINES = Shingles(lambda: F.encode("line", "UTF-32"), lambda: (F.octet_length("data") / 4).cast("int") - SHINGLE + 1, lambda: F.xxhash64(F.expr(f"substring(data, 4 * i - 3, {4 * SHINGLE})")), 20_000)
+OF_LINES = Shingles(
+    lambda: F.encode("line", "UTF-32"),
+    lambda: (F.octet_length("data") / 4).cast("int") - (SHINGLE - 1),
+    lambda i: F.xxhash64(F.substring(F.col("data"), 4 * i - 3, F.lit(4 * SHINGLE))),
+)
 
 
-def _shingles(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
-    """keep, and h: the hash of each shingle of column line, one row each."""
-    data = lines.select(*keep, how.data().alias("data"))
-    each = data.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.greatest(how.count(), F.lit(1)))).alias("i"))
-    return each.select(*keep, how.hash().alias("h"))
+def _blocks(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, and h0 ...: the hashes of the shingles of column line, BLOCK_SHINGLES a row; the last one fills the last row."""
+    data = lines.select(*keep, how.data().alias("data")).select(*keep, "data", F.greatest(how.count(), F.lit(1)).alias("n"))
+    blocks = data.select(*keep, "data", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(BLOCK_SHINGLES))).alias("i"))
+    return blocks.select(*keep, *[how.hash(F.least(F.col("i") + b, F.col("n"))).alias(f"h{b}") for b in range(BLOCK_SHINGLES)])
 
 
-def _buckets(how: Shingles, lines: DataFrame) -> DataFrame:
-    """key, node, first, n: lines that share a band with another line, the bucket's smallest line, and its number of lines.
+_HASHES = [f"h{b}" for b in range(BLOCK_SHINGLES)]
 
-    Signatures are combined where lines are read; what is moved is one row per line and task, then one per line and band.
-    """
-    places = [F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SALTS)]
-    signatures = _shingles(how, lines, "a").groupBy("a").agg(*places)
-    bands = [F.xxhash64(F.lit(j), *[f"m{m}" for m in band]) for j, band in enumerate(BANDS)]
-    keyed = signatures.select(F.col("a").alias("node"), F.explode(F.array(*bands)).alias("key"))
-    together = Window.partitionBy("key")
-    return keyed.withColumns({"n": F.count("*").over(together), "first": F.min("node").over(together)}).where("n > 1").select("key", "node", "first", "n")
 
+def signatures(how: Shingles, lines: DataFrame) -> DataFrame:
+    """node (a number), a1, a2, m0 ...: the signature of every distinct line. lines: a1, a2, line."""
+    places = [F.min(F.least(*[F.col(h).bitwiseXOR(F.lit(s)) for h in _HASHES])).alias(f"m{j}") for j, s in enumerate(_SALTS)]
+    return _blocks(how, lines, "a1", "a2").groupBy("a1", "a2").agg(*places).withColumn("node", F.monotonically_increasing_id())
 
-def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, line: the wanted lines."""
-    n = nodes.count()
-    wanted = lines.select(F.col("a").alias("node"), "line").join(F.broadcast(nodes) if n <= BROADCAST_LINES else nodes, "node", "left_semi")
-    return wanted.groupBy("node").agg(F.first("line").alias("line"))
 
+def _bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(j), *[f"m{m}" for m in band]) for j, band in enumerate(BANDS)])
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is worked out once, however often filters name it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
 
+def _buckets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(firsts, members). firsts: x, y: of every bucket of two lines its lines, of a larger one its smallest and largest line.
+    members: key, node, first of all lines of larger buckets."""
+    keyed = table.select("node", F.explode(_bands()).alias("key"))
+    met = materialize(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    clean_shuffles(table.sparkSession)
+    large = met.where("n > 2").select("key", F.col("x").alias("first"))
+    members = keyed.join(_near(large), "key").select("key", "node", "first")
+    return met.select("x", "y"), materialize(members, "large-buckets")
 
-def _verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (x, y) those whose exact Jaccard similarity is at least SIMILARITY.
 
-    Texts are moved, never sets: x's set is made once for every LEAVES of its pairs, where those have been sent.
-    """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    centers = pairs.groupBy("x").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
-    dealt = pairs.join(centers, "x").select("x", "y", F.pmod("y", "salts").alias("salt"))
-    y = dealt.join(texts.select(F.col("node").alias("y"), "line"), "y").repartition(parts, "x", "salt")
-    y = _shingles(how, y, "x", "salt", "y").groupBy("x", "salt", "y").agg(F.collect_list("h").alias("sy"))  # one line's shingles
-    x = centers.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    x = x.join(texts.select(F.col("node").alias("x"), "line"), "x").repartition(parts, "x", "salt")
-    x = _shingles(how, x, "x", "salt").groupBy("x", "salt").agg(F.array_distinct(F.collect_list("h")).alias("sx"))
-    both = _once(y.join(x, ["x", "salt"]), "common", F.size(F.array_intersect("sx", "sy")))
-    both = both.where(F.col("common") >= SIMILARITY * F.size("sx"))  # x alone rules it out otherwise
-    union = F.size("sx") + F.size(F.array_distinct("sy")) - F.col("common")
-    return both.where(F.col("common") >= SIMILARITY * union).select("x", "y")
+def _near(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_LINES rows at most (of numbers)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
 
 
-def _bitmaps(how: Shingles, texts: DataFrame) -> DataFrame:
-    """node, n (distinct shingles), w0 ...: WORDS words, a bit being the parity of the shingles whose hash falls on it."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = _shingles(how, texts.repartition(parts, "node"), "node").groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.expr(f"(h >> 6) & {WORDS - 1}")
-    marked = each.select("node", bit.alias("bit"), word.alias("word"))
-    none = F.lit(0).cast("long")
-    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(none)).alias(f"w{w}") for w in range(WORDS)]
-    return marked.groupBy("node").agg(F.count("*").alias("n"), *words)
+def _sketches(table: DataFrame) -> DataFrame:
+    """s (the node), s0 ...: its places by their low eight bits, _PACKED to a word."""
+    words = []
+    for w, at in enumerate(range(0, PLACES, _PACKED)):
+        parts = [f"shiftleft(m{m} & 255L, {8 * (m - at)})" for m in range(at, min(PLACES, at + _PACKED))]
+        words.append(F.expr(" | ".join(parts)).alias(f"s{w}"))
+    return table.select(F.col("node").alias("s"), *words)
 
 
-def _side(maps: DataFrame, name: str) -> DataFrame:
-    """maps with name for the node, and name before its other columns."""
-    return maps.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in maps.columns if c != "node"])
+def _agree(x: str = "x", y: str = "y") -> Column:
+    """Whether AGREE places of two sketches agree: bytes that are equal leave a zero byte behind, which keeps its high bit clear."""
+    differing = []
+    low, high = int.from_bytes(b"\x7f" * _PACKED, "big"), int.from_bytes(b"\x80" * _PACKED, "big")
+    for w in range(-(-PLACES // _PACKED)):
+        v = f"({x}{w} ^ {y}{w})"
+        differing.append(f"bit_count(((({v} & {low}L) + {low}L) | {v}) & {high}L)")
+    return F.expr(f"{' + '.join(differing)} <= {PLACES - AGREE}")
 
 
-def _folded(maps: DataFrame) -> DataFrame:
-    """maps with FEW_WORDS words: what falls on one bit by the lower bits of its place."""
-    words = [F.expr(" ^ ".join(f"w{v}" for v in range(w, WORDS, FEW_WORDS))).alias(f"w{w}") for w in range(FEW_WORDS)]
-    return maps.select("node", "n", *words)
+def _texts(lines: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, line: the lines of the pairs (x, y)."""
+    nodes = materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "wanted-nodes")
+    wanted = materialize(table.select("node", "a1", "a2").join(_near(nodes), "node", "left_semi"), "wanted-lines")
+    return lines.select("a1", "a2", "line").join(_near(wanted), ["a1", "a2"]).groupBy("node").agg(F.first("line").alias("line"))
 
 
-def _possible(words: int = WORDS) -> Column:
-    """Whether the bitmaps of x and y allow the similarity: of sizes xn + yn, at most a ninth may be unshared (common / union >= 4 / 5)."""
-    bits = [F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(words)]
-    return (5 * F.col("xn") >= 4 * F.col("yn")) & (5 * F.col("yn") >= 4 * F.col("xn")) & (9 * sum(bits[1:], bits[0]) <= F.col("xn") + F.col("yn"))
+def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (x, y) those whose exact Jaccard similarity is at least SIMILARITY.
 
+    Texts are moved, never sets: sets are made where the texts of a pair have met. A line with many pairs is dealt to several tasks, LEAVES pairs each.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    centers = pairs.groupBy("x").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
+    dealt = pairs.join(centers, "x").select("x", "y", F.pmod(F.xxhash64("y"), "salts").alias("salt"))
+    y = dealt.join(texts.select(F.col("node").alias("y"), F.col("line").alias("ly")), "y")
+    x = centers.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    x = x.join(texts.select(F.col("node").alias("x"), F.col("line").alias("lx")), "x")
+    both = y.repartition(parts, "x", "salt").join(x.repartition(parts, "x", "salt"), ["x", "salt"])
+    sides = both.select("x", "salt", "y", F.posexplode(F.array("lx", "ly")).alias("side", "line"))
+    hashes = F.array(*_HASHES)
+    sets = [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == k, hashes)))).alias(f"s{k}") for k in (0, 1)]  # two lines' hashes
+    both = _blocks(how, sides, "x", "salt", "y", "side").groupBy("x", "salt", "y").agg(*sets)
+    both = both.select("x", "y", F.size("s0").alias("n0"), F.size("s1").alias("n1"), F.size(F.array_intersect("s0", "s1")).alias("common"))
+    return both.where(F.col("common") >= SIMILARITY * (F.col("n0") + F.col("n1") - F.col("common"))).select("x", "y")
 
-def _left_apart(shared: DataFrame, roots: DataFrame, maps: DataFrame) -> DataFrame:
-    """x, y, xroot, yroot: pairs of lines of one bucket that are in different components and may be similar.
 
-    All of them, from one bucket each.
+def _left_apart(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """x, y, xroot, yroot: pairs of lines of one bucket that are in different components and agree in AGREE places.
 
+    All of them, from one bucket each; a bucket of two lines has no pair but the one that _buckets() gives.
     i numbers the blocks of the lines outside the largest component (x), j those of all lines (y).
     """
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     by_root = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     grids = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
     grids = grids.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("js"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("is"))
     mixed = materialize(named.join(grids, "key"), "mixed-buckets")
-    keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one per band
-    known = mixed.join(maps.join(keys, "node"), "node")
+    keys = materialize(mixed.groupBy("node").agg(F.collect_list("key").alias("keys")), "bucket-keys")  # at most one per band
+    known = mixed.join(sketches.withColumnRenamed("s", "node").join(_near(keys), "node"), "node")
     place = F.xxhash64(F.lit("block"), "node")
 
     def upto(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    outside = known.where("root <> main").withColumn("i", F.pmod(place, "is")).withColumn("j", upto("js")).drop("is", "js")
-    every = known.withColumn("j", F.pmod(place, "js")).withColumn("i", upto("is")).drop("is", "js")
-    x = _side(outside, "x").repartition(parts, "xkey", "xi", "xj")
-    y = _side(every, "y").repartition(parts, "ykey", "yi", "yj")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        words = [F.col(f"s{w}").alias(f"{name}{w}") for w in range(-(-PLACES // _PACKED))]
+        return df.select(*[F.col(c).alias(name if c == "node" else f"{name}{c}") for c in ("key", "i", "j", "node", "root", "main", "keys")], *words)
+
+    outside = known.where("root <> main").withColumn("i", F.pmod(place, "is")).withColumn("j", upto("js"))
+    every = known.withColumn("j", F.pmod(place, "js")).withColumn("i", upto("is"))
+    x = side(outside, "x").repartition(parts, "xkey", "xi", "xj")
+    y = side(every, "y").repartition(parts, "ykey", "yi", "yj")
     cell = (F.col("xkey") == F.col("ykey")) & (F.col("xi") == F.col("yi")) & (F.col("xj") == F.col("yj"))
     once = ((F.col("yroot") == F.col("ymain")) | (F.col("x") < F.col("y"))) & (F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("xkey"))
-    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _possible() & once).select("x", "y", "xroot", "yroot")
-
-
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) for lines (by the hash a) that are near-duplicates of a different line; root is the component's smallest node."""
-    return near_sets(OF_LINES, lines_of(docs, id_col, text_col).select("a", "line"))
-
-
-def near_sets(how: Shingles, lines: DataFrame) -> DataFrame:
-    """near_lines() of any texts: a, line (the text; equal texts share a), cut into shingles as how says."""
-    lines.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(how.lists))
-    shared = materialize(_buckets(how, lines), "buckets")
-    clean_shuffles(lines.sparkSession)
-    stars = shared.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
-    texts = materialize(_texts(lines, shared.select("node").distinct()), "candidate-lines")
-    maps = materialize(_bitmaps(how, texts), "line-bitmaps")
-    clean_shuffles(lines.sparkSession)
-    few = _folded(maps)
-    stars = stars.join(_side(few, "x"), "x").join(_side(few, "y"), "y").where(_possible(FEW_WORDS)).select("x", "y")
-    links = materialize(_verified(how, materialize(stars, "line-pairs"), texts), "line-links")
+    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _agree() & once).select("x", "y", "xroot", "yroot")
+
+
+def near_sets(how: Shingles, lines: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(a1, a2, root) for texts that are near-duplicates of a different text; root is a number that the component shares.
+
+    lines: a1, a2, line (the text; equal texts share a1 and a2), cut into shingles as how says. more: further candidate
+    pairs (x1, x2, y1, y2), verified like all others. Which number a component gets may differ between runs.
+    """
+    spark = lines.sparkSession
+    table = materialize(signatures(how, lines), "signatures")
+    clean_shuffles(spark)
+    firsts, members = _buckets(table)
+    sketches = materialize(_sketches(table), "sketches")
+    stars = firsts.unionByName(members.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))).distinct()
+    x, y = (sketches.select(*[F.col(c).alias(side + c[1:]) for c in sketches.columns]) for side in ("x", "y"))
+    stars = stars.join(x, "x").join(y, "y").where(_agree()).select("x", "y")
+    if more is not None:
+        names = table.select("node", "a1", "a2")
+        for side in ("x", "y"):
+            more = more.join(names.select(F.col("node").alias(side), F.col("a1").alias(f"{side}1"), F.col("a2").alias(f"{side}2")), [f"{side}1", f"{side}2"])
+        stars = stars.unionByName(more.select("x", "y")).distinct()
+    stars = materialize(stars, "line-pairs")
+    texts = materialize(_texts(lines, table, stars), "candidate-lines")
+    links = materialize(verified(how, stars, texts), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
-    clean_shuffles(lines.sparkSession)
-    apart = materialize(_left_apart(shared, roots, maps), "line-pairs")
-    clean_shuffles(lines.sparkSession)
-    early = apart.groupBy("x", "yroot").agg(F.array(F.min("y"), F.max("y")).alias("two")).select("x", F.explode(F.array_distinct("two")).alias("y"))
-    early = materialize(early, "line-pairs")
-    more = materialize(_verified(how, early, texts), "line-links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = materialize(connected_components(links, "x", "y"), "line-roots")
-    for side in ("x", "y"):
-        now = roots.select(F.col("node").alias(side), F.col("root").alias("now"))
-        apart = apart.join(now, side, "left").withColumn(f"{side}root", F.coalesce("now", f"{side}root")).drop("now")
-    rest = apart.where("xroot <> yroot").select("x", "y").join(early, ["x", "y"], "left_anti")
-    more = materialize(_verified(how, materialize(rest, "line-pairs"), texts), "line-links")
-    if more.limit(1).count() == 0:
-        return roots
-    return connected_components(links.unionByName(more), "x", "y")
+    clean_shuffles(spark)
+    apart = materialize(_left_apart(members, roots, sketches), "line-pairs")
+    clean_shuffles(spark)
+    if apart.limit(1).count():
+        texts = materialize(_texts(lines, table, apart), "candidate-lines")
+        early = apart.groupBy("x", "yroot").agg(F.min("y").alias("y"), F.max("y").alias("z"))
+        early = materialize(early.select("x", "y").unionByName(early.where("y <> z").select("x", F.col("z").alias("y"))), "line-pairs")
+        found = materialize(verified(how, early, texts), "line-links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            roots = materialize(connected_components(links, "x", "y"), "line-roots")
+        for side in ("x", "y"):
+            now = roots.select(F.col("node").alias(side), F.col("root").alias("now"))
+            apart = apart.join(now, side, "left").withColumn(f"{side}root", F.coalesce("now", f"{side}root")).drop("now")
+        rest = apart.where("xroot <> yroot").select("x", "y").join(early, ["x", "y"], "left_anti")
+        found = materialize(verified(how, materialize(rest, "line-pairs"), texts), "line-links")
+        if found.limit(1).count():
+            roots = materialize(connected_components(links.unionByName(found), "x", "y"), "line-roots")
+    return table.select("node", "a1", "a2").join(roots, "node").select("a1", "a2", "root")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line of docs that is not blank: doc_id, line_no, a (hash), group (a of the component's root), keep.
+    """Per line of docs that is not blank: doc_id, t1, t2 (the text's hash), line_no, component_id, keep.
 
-    keep is true for the line that stands first in its component: smallest id (nulls first), then line_no; repeated rows share id and
-    number, and so their lines share the decision. Blank lines and null texts give no row.
+    component_id is the 128-bit hash, in hex, of the line that stands first in the component: smallest id (nulls first), then the
+    text's hash (repeated ids with other texts), then line_no. keep is true for that line alone. Repeated rows, of one id and text, share
+    their lines and so the decision. Blank lines and null texts give no row; an empty table gives none.
     """
-    narrow = materialize(lines_of(docs, id_col, text_col).select("doc_id", "line_no", "a"), "lines")
-    roots = near_lines(docs, id_col, text_col)
-    place = F.struct(F.col("doc_id").isNotNull().alias("z"), F.col("doc_id").alias("i"), F.col("line_no").alias("l"))
-    seen = narrow.groupBy("a").agg(F.min(place).alias("p"), F.count("*").alias("n"))
-    named = seen.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("group", F.coalesce("root", "a"))
-    first = named.groupBy("group").agg(F.min("p").alias("first"), F.sum("n").alias("size"))
+    lines = lines_of(docs, id_col, text_col)
+    narrow = materialize(lines.drop("line"), "lines")
+    roots = materialize(near_sets(OF_LINES, lines.select("a1", "a2", "line")), "line-components")
+    place = F.struct(F.col("doc_id").isNotNull().alias("z"), F.col("doc_id").alias("i"), F.col("t1").alias("s"), F.col("t2").alias("t"), F.col("line_no").alias("l"))
+    seen = narrow.groupBy("a1", "a2").agg(F.min(place).alias("p"), F.count("*").alias("n")).join(roots, ["a1", "a2"], "left")
     # lines that are alone need no join with their own place
-    known = materialize(named.join(first.where("size > 1"), "group").select("a", "group", "first"), "line-groups")
-    out = narrow.join(known, "a", "left")
-    keep = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.i")) & (F.col("line_no") == F.col("first.l")))
-    return out.select("doc_id", "line_no", "a", F.coalesce("group", "a").alias("group"), keep.alias("keep"))
+    many = materialize(seen.where("n > 1 or root is not null"), "line-groups")
+    groups = many.where("root is not null").groupBy("root").agg(F.min(F.struct("p", "a1", "a2")).alias("first"))
+    near = many.join(groups, "root").select("a1", "a2", F.col("first.p").alias("p"), F.col("first.a1").alias("f1"), F.col("first.a2").alias("f2"))
+    known = near.unionByName(many.where("root is null").select("a1", "a2", "p", F.col("a1").alias("f1"), F.col("a2").alias("f2")))
+    out = narrow.join(materialize(known, "line-firsts"), ["a1", "a2"], "left")
+    mine = F.col("doc_id").eqNullSafe(F.col("p.i")) & (F.col("t1") == F.col("p.s")) & (F.col("t2") == F.col("p.t")) & (F.col("line_no") == F.col("p.l"))
+    name = F.lower(F.concat(F.lpad(F.hex(F.coalesce("f1", "a1")), 16, "0"), F.lpad(F.hex(F.coalesce("f2", "a2")), 16, "0")))
+    return out.select("doc_id", "t1", "t2", "line_no", name.alias("component_id"), (F.col("p").isNull() | mine).alias("keep"))
 
 
 def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs without the lines that near-duplicate an earlier line; its columns, the text and its length (code points) set anew.
 
-    A document that loses all its lines goes; one without a line that goes (blank and null texts among them) stays as it is. Repeated
-    rows keep their lines each, being one line by id and number.
+    A document that loses all its lines goes; one without a line that goes (blank and null texts among them) stays as it is. A row
+    is known by its id (null or not) and its text, so rows that share an id keep their own lines; repeated rows, of one id and text, keep
+    theirs each. An empty table stays empty. Columns of docs may have any names.
     """
-    gone = line_groups(docs, id_col, text_col).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # at most one document's lines
-    d, g = docs.alias("d"), materialize(gone, "gone-lines").alias("g")
-    joined = d.join(g, F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc_id")), "left")
-    parts = F.split(F.col(f"d.{text_col}").cast("string"), "\n")
-    left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("g.gone"), s["i"]))
-    text = F.when(F.col("g.gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(left["x"], "\n"))
-    nothing = F.col("g.gone").isNotNull() & (F.trim(F.translate(F.array_join(left["x"], ""), "\n\r\t", "   ")) == "")
-    out = joined.where(~nothing)
+    key, t1, t2 = row_keys(docs, id_col, text_col)
+    gone = line_groups(docs, id_col, text_col).where(~F.col("keep")).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("gone"))  # at most one document's lines
+    g = materialize(gone, "gone-lines").select(F.struct("doc_id", "t1", "t2", "gone").alias("g"))
+    inner, gone_name = fresh(docs, "row"), fresh(docs, "gone")
+    rows = docs.withColumn(inner, F.struct(key.alias("doc_id"), t1.alias("t1"), t2.alias("t2"))).alias("d")
+    g = g.withColumnRenamed("g", gone_name)
+    r, s = F.col(f"d.`{inner}`"), F.col(f"`{gone_name}`")
+    joined = rows.join(g, r["doc_id"].eqNullSafe(s["doc_id"]) & (r["t1"] == s["t1"]) & (r["t2"] == s["t2"]), "left")
+    lines = s["gone"]
+    parts = F.split(F.col(f"d.`{text_col}`").cast("string"), "\n")
+    left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(lines, p["i"]))
+    text = F.when(lines.isNull(), F.col(f"d.`{text_col}`")).otherwise(F.array_join(left["x"], "\n"))
+    nothing = lines.isNotNull() & (F.trim(F.translate(F.array_join(left["x"], ""), "\n\r\t", "   ")) == "")
     kept = []
     for c in docs.columns:
         if c == text_col:
@@ -258,4 +287,4 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept.append(F.length(text).cast(docs.schema[c].dataType).alias(c))
         else:
             kept.append(F.col(f"d.`{c}`").alias(c))
-    return out.select(*kept)
+    return joined.where(~nothing).select(*kept)

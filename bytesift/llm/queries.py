@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "line_no", F.col("group").alias("component_id"), "keep")
+    return rows.select("doc_id", "line_no", "component_id", "keep")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
