@@ -6,12 +6,14 @@ A string of LENGTH bytes is a window; every window that also starts anywhere els
    equal ones), so equal windows have equal anchors at equal places. Runs of windows share an anchor, about one per
    85 bytes. Texts are known by a 128-bit hash; equal texts are one text here, and if long enough are covered whole.
 2. Anchors whose hash occurs once are done with. Of the others, the bytes that their run of windows
-   spans are gathered by hash.
-3. Within one hash, equal spans are folded; the windows (suffixes, of which LENGTH bytes count) of the rest are sorted by
+   spans are taken; equal spans are folded by a grouped count, so that a passage which many texts share moves once.
+3. An anchor with more than CROWD different spans is split: its windows by the anchor's place in them, in halves, and each half by the
+   bytes around the anchor that all its windows hold. Equal windows stay together, and spans are folded anew. This is done
+   until no group is crowded, at the latest when a group's windows are all equal.
+4. Within one group, the windows (suffixes, of which LENGTH bytes count) are sorted by
    mergesort. Two suffixes are compared by their longest common extension, found by binary search over prefix
    polynomial hashes; neighbours that share LENGTH bytes are verified byte by byte.
-   Hashes with more than CROWD spans are not gathered: their windows are counted by content, with partial sums.
-4. The covered windows of each text are merged into spans, and cut out of the text.
+5. The covered runs of each span go to all its places; those of one text are merged, and cut out of it.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, text_or_empty
 
 LENGTH = 200
 GRAM = 32
-#: spans of one anchor hash that one task sorts, at most
-CROWD = 12_000
+#: different spans of one group that one task sorts, at most
+CROWD = 3_000
 #: bytes of what is joined to the texts up to which it is broadcast; beyond, the texts are shuffled
 BROADCAST_BYTES = 16 << 20
 #: bytes of text, and suffixes, that are worked on at a time
@@ -158,40 +160,27 @@ def _sorted_by_bytes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length
     return np.array(order, dtype=np.int64), np.array(same, dtype=bool)
 
 
-def covered(spans: list[bytes], offsets: np.ndarray, classes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """(span, first window, last window) for runs of windows that occur in another span too.
+def covered(spans: list[bytes], offsets: np.ndarray, classes: np.ndarray, times: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """(span, first window, last window) for runs of windows that occur in another span too, or whose span occurs several times.
 
-    classes: spans of one anchor hash, ascending; offsets: the anchor's place in its span. Windows can only be equal within a class and at
-    one distance from the anchor.
+    Spans differ within a class (ascending), or in the anchor's place (offsets). Windows can only be equal within a class and at one
+    distance from the anchor.
     """
-    folded: dict[tuple[int, int, bytes], int] = {}
-    of = np.empty(len(spans), dtype=np.int64)
-    times: list[int] = []
-    for i, key in enumerate(zip(classes.tolist(), offsets.tolist(), spans, strict=True)):
-        j = folded.setdefault(key, len(times))
-        if j == len(times):
-            times.append(0)
-        times[j] += 1
-        of[i] = j
-    keys = list(folded)
-    kind = np.array([k[0] for k in keys])
-    many = np.bincount(np.unique(kind, return_inverse=True)[1])
-    alone = np.array(times) == 1
+    number = np.unique(classes, return_inverse=True)[1]
+    windows = np.array([len(x) - length + 1 for x in spans])
+    hit = [np.full(w, t > 1) for w, t in zip(windows.tolist(), times.tolist(), strict=True)]
     # a class needs sorting if it has other spans and one that is alone
-    number = np.unique(kind, return_inverse=True)[1]
-    needy = np.bincount(number, weights=alone, minlength=len(many)) > 0
-    todo = np.flatnonzero((many > 1)[number] & needy[number])
-    windows = np.array([len(k[2]) - length + 1 for k in keys])
-    hit = [np.full(w, t > 1) for w, t in zip(windows.tolist(), times, strict=True)]
+    needy = np.bincount(number, weights=times == 1) > 0
+    todo = np.flatnonzero((np.bincount(number) > 1)[number] & needy[number])
     if len(todo):
-        data = np.frombuffer(b"".join(keys[j][2] for j in todo), dtype=np.uint8)
-        size = np.array([len(keys[j][2]) for j in todo])
+        data = np.frombuffer(b"".join(spans[j] for j in todo), dtype=np.uint8)
+        size = np.array([len(spans[j]) for j in todo])
         base = np.cumsum(size) - size
         w = windows[todo]
         who = np.repeat(np.arange(len(todo)), w)
         inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         at = base[who] + inside
-        shift = np.array([keys[j][1] for j in todo])[who] - inside  # the anchor's place in the window
+        shift = offsets[todo][who] - inside  # the anchor's place in the window
         group = number[todo][who] * length + shift
         by = np.argsort(group, kind="stable")
         order, same = sorted_suffixes(Hashes(data), at[by], group[by], length)
@@ -201,8 +190,8 @@ def covered(spans: list[bytes], offsets: np.ndarray, classes: np.ndarray, length
         for j, x in zip(who[chosen].tolist(), inside[chosen].tolist(), strict=True):
             hit[todo[j]][x] = True
     out = []
-    for i, j in enumerate(of.tolist()):
-        mark = np.flatnonzero(np.diff(np.concatenate(([False], hit[j], [False])).astype(np.int8)))
+    for i, marks in enumerate(hit):
+        mark = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
         out += [(i, a, b - 1) for a, b in zip(mark[::2].tolist(), mark[1::2].tolist(), strict=True)]
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
@@ -237,20 +226,19 @@ def _spans_of(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), schema, strict=True)], schema=schema)
 
 
-_RUNS = "t1 long, t2 long, lo long, hi long"
+_HITS = "k1 long, k2 long, lo long, hi long"
 
 
 def _covered_of(batches):
     """Rows come sorted by h within a partition; whole classes are worked on together."""
-    columns = ("h", "t1", "t2", "a", "offset", "span")
+    columns = ("h", "k1", "k2", "offset", "span", "times")
     held: list[tuple] = []
 
     def work(rows):
-        h, t1, t2, a, offset, spans = zip(*rows, strict=True)
-        hits = covered(list(spans), np.array(offset), np.unique(np.array(h), return_inverse=True)[1])
+        h, k1, k2, offset, spans, times = zip(*rows, strict=True)
+        hits = covered(list(spans), np.array(offset, dtype=np.int64), np.array(h, dtype=np.int64), np.array(times, dtype=np.int64))
         i = hits[:, 0]
-        start = np.array(a, dtype=np.int64)[i]
-        return pa.RecordBatch.from_pydict({"t1": np.array(t1, dtype=np.int64)[i], "t2": np.array(t2, dtype=np.int64)[i], "lo": start + hits[:, 1], "hi": start + hits[:, 2] + LENGTH})
+        return pa.RecordBatch.from_pydict({"k1": np.array(k1, dtype=np.int64)[i], "k2": np.array(k2, dtype=np.int64)[i], "lo": hits[:, 1], "hi": hits[:, 2] + LENGTH})
 
     weight = 0
     for batch in batches:
@@ -259,11 +247,48 @@ def _covered_of(batches):
                 yield work(held)
                 held, weight = [], 0
             held.append(row)
-            weight += len(row[5]) - LENGTH + 1
+            weight += len(row[4]) - LENGTH + 1
     if held:
         yield work(held)
 
 
+def _split(crowd: DataFrame) -> DataFrame:
+    """The spans of crowded groups in two parts each: windows that have the anchor in the lower or the upper half of its places, grouped by the bytes that all of a half's windows hold."""
+    middle = F.floor((F.col("s1") + F.col("s2")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(F.col("s1").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("s2").alias("b"))))
+    rows = crowd.withColumn("half", halves).where("half.a <= half.b")
+    first = F.greatest(F.col("offset") - F.col("half.b"), F.lit(0))
+    last = F.least(F.col("offset") - F.col("half.a"), F.octet_length("span") - LENGTH)
+    rows = rows.withColumns({"first": first, "last": last}).where("first <= last")
+    common = F.substring("span", F.col("offset") - F.col("half.a") + 1, F.col("half.a") + LENGTH - F.col("half.b"))
+    return rows.select(
+        F.xxhash64("h", "half.a", common).alias("h"), *_T, (F.col("a") + F.col("first")).alias("a"), (F.col("offset") - F.col("first")).alias("offset"),
+        F.substring("span", F.col("first") + 1, F.col("last") - F.col("first") + LENGTH).alias("span"), F.col("half.a").alias("s1"), F.col("half.b").alias("s2"),
+    )
+
+
+def _runs(spans: DataFrame, uncopied: DataFrame, crowd: int) -> DataFrame:
+    """t1, t2, lo, hi: the covered runs of the texts in uncopied, from spans (h, t1, t2, a, offset, span)."""
+    spans, runs = spans.withColumns({"s1": F.lit(0), "s2": F.lit(LENGTH - GRAM)}), None
+    while True:
+        key = {"k1": F.xxhash64("h", "offset", "span"), "k2": F.xxhash64(F.lit(1), "h", "offset", "span")}
+        folded = materialize(spans.groupBy("h", "offset", "span").agg(F.count("*").alias("times")).withColumns(key), "folded-spans")
+        crowds = folded.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h")
+        crowds = materialize(crowds, "crowds")
+        n = crowds.count()
+        near = F.broadcast(crowds) if n <= 100_000 else crowds
+        ready = folded.join(near, "h", "left_anti") if n else folded
+        hits = ready.repartition("h").sortWithinPartitions("h").mapInArrow(_covered_of, _HITS)
+        hits = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))  # one span's runs
+        places = spans.withColumns(key).select("k1", "k2", *_T, "a").join(uncopied, _T, "left_semi")
+        found = places.join(materialize(hits, "hits"), ["k1", "k2"]).select(*_T, F.transform("hits", lambda x: F.struct((F.col("a") + x["lo"]).alias("lo"), (F.col("a") + x["hi"]).alias("hi"))).alias("runs"))
+        found = materialize(found, "covered")
+        runs = found if runs is None else runs.unionByName(found)
+        if not n:
+            return runs
+        spans = materialize(_split(spans.join(near, "h", "left_semi")), "split-spans")
+
+
 _CUT = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
 
 
@@ -288,7 +313,7 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int
 def _cut_column(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
     for text, r in zip(texts, runs, strict=True):
-        kept, spans = cut(bytes(text), [(x["lo"], x["hi"]) for x in r])
+        kept, spans = cut(bytes(text), [(x["lo"], x["hi"]) for one in r for x in one])
         out.append((len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
@@ -297,9 +322,8 @@ def _near(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, runs). texts: t1, t2 of every distinct text, its number of rows (copies). runs: t1, t2, lo, hi: covered byte ranges, which may overlap; a text with copies may lack some."""
-    small_batches(docs.sparkSession, 1024)
+def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, crowd: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts, runs). texts: t1, t2 of every distinct text, its number of rows (copies). runs: t1, t2, runs: lists of covered byte ranges, which may overlap, of texts without copies."""
     t = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2"), F.encode(t, "UTF-8").alias("text"))
     texts = materialize(rows.groupBy(*_T).agg(F.count("*").alias("copies"), F.min("id").alias("first")), "texts")
@@ -309,40 +333,27 @@ def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = found.join(shared, "h", "left_semi").groupBy(*_T).agg(F.collect_set(F.struct("h", "a", "b", "p")).alias("found"))  # at most one text's anchors
     per = materialize(kept.join(texts, _T).select("first", *_T, "found"), "shared-anchors")
     size = per.agg(F.sum(24 * F.size("found") + 64)).first()[0] or 0
-    # of equal texts the row with the smallest id stands for all
+    # of equal texts the rows with the smallest id stand for all, and of those one
     r, q = rows.alias("r"), _near(per, size).alias("q")
     one = r.join(q, (F.col("r.t1") == F.col("q.t1")) & (F.col("r.t2") == F.col("q.t2")) & F.col("r.id").eqNullSafe(F.col("q.first"))).select("r.t1", "r.t2", "text", "found")
-    spans = materialize(one.mapInArrow(_spans_of, "h long, t1 long, t2 long, a int, offset int, span binary"), "spans")
-    crowds = materialize(spans.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h"), "crowds")
-    few = spans.join(F.broadcast(crowds) if crowds.count() <= 100_000 else crowds, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    runs = few.mapInArrow(_covered_of, _RUNS)
-    if crowds.limit(1).count():
-        runs = runs.unionByName(_by_content(spans.join(F.broadcast(crowds) if crowds.count() <= 100_000 else crowds, "h", "left_semi")))
-    return texts, materialize(runs, "covered")
-
-
-def _by_content(spans: DataFrame) -> DataFrame:
-    """The windows of crowded anchors, counted by their bytes."""
-    w = spans.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("span") - LENGTH)))
-    w = w.select("t1", "t2", (F.col("a") + F.col("i")).cast("long").alias("lo"), F.expr(f"substring(span, i + 1, {LENGTH})").alias("window"))
-    w = w.withColumns({"w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")})
-    at = F.struct("t1", "t2", "lo")
-    # by bytes first, so that windows which only share a hash stay apart
-    same = w.groupBy("w1", "w2", "window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x <> y").select("w1", "w2", "window")
-    return w.join(same, ["w1", "w2", "window"], "left_semi").select("t1", "t2", "lo", (F.col("lo") + LENGTH).alias("hi")).distinct()
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    spans = one.mapInArrow(_spans_of, "h long, t1 long, t2 long, a int, offset int, span binary")
+    repeated = rows.groupBy("id", *_T).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    spans = materialize(spans.dropDuplicates(["h", *_T, "a"]) if repeated else spans, "spans")
+    return texts, _runs(spans, texts.where("copies = 1").select(*_T), crowd or CROWD)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int | None = None) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A null text is empty. A text under LENGTH bytes keeps all. Repeated rows are copies: covered whole.
+    A null text is empty. A text under LENGTH bytes keeps all. Repeated rows are copies, and so are rows of one text under several ids or
+    none: covered whole. An empty table gives no row. Other columns of docs are not looked at. crowd does not change the result.
     """
     t = text_or_empty(text_col)
     keys = [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
-    texts, runs = covered_runs(docs, id_col, text_col)
-    copied = materialize(texts.where("copies > 1"), "copied")
-    own = materialize(runs.join(copied, _T, "left_anti").groupBy(*_T).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")  # at most one text's
-    size = own.agg(F.sum(24 * F.size("runs") + 64)).first()[0] or 0
+    texts, runs = covered_runs(docs, id_col, text_col, crowd=crowd)
+    copied = materialize(texts.where("copies > 1").select(*_T, "copies"), "copied")
+    own = materialize(runs.groupBy(*_T).agg(F.collect_list("runs").alias("runs")), "runs")  # at most one text's
+    size = own.agg(F.sum(24 * F.size(F.flatten("runs")) + 64)).first()[0] or 0
     bodies = docs.select(*keys, F.encode(t, "UTF-8").alias("text")).join(_near(own, size), _T)
     made = materialize(bodies.select(*_T, _cut_column("text", "runs").alias("c")).select(*_T, "c.*"), "cut")
     rows = docs.select(F.col(id_col).alias("id"), *keys, F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(F.encode(t, "UTF-8"), 256).alias("whole"))
