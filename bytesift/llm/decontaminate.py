@@ -6,8 +6,8 @@ k-grams the least is kept (ties: all of them), with k + w - 1 = window: so any s
 both sides share yields a kept k-gram that both share. Windows of shorter items are fingerprinted
 whole (w = 1). A shared fingerprint is extended: every window around it is compared word by word.
 
-Two plans give the same rows. Where the benchmark's text is at most BROADCAST_BYTES (measured first), its
-windows go to the executors as one broadcast index and each text is settled where it is read. Beyond
+Two plans give the same rows. Where the benchmark's text is at most BROADCAST_BYTES (measured first; an index takes
+about 65 times as much as the text), its windows go to the executors as one broadcast index and each text is settled where it is read. Beyond
 that, fingerprints and then windows are joined by shuffles.
 """
 
@@ -22,15 +22,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import materialize, small_batches, text_or_empty
+from .common import fresh, materialize, text_or_empty
 
 WINDOW = 13
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 1 << 20
 #: contaminated: at least one word in `ONE_IN` is hit
 ONE_IN = 20
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -104,8 +105,8 @@ class Index:
         self.prints = {n: np.unique(np.concatenate(p)) for n, p in prints.items()}
         self.windows = {n: {k: sorted(v) for k, v in by.items()} for n, by in self.windows.items()}
 
-    def hits(self, text: str | None) -> tuple[int, int, list[str]]:
-        """(words, words hit, ids of the items with a window in the text, sorted as strings)."""
+    def hits(self, text: str | None) -> tuple[int, int, list[str], bool]:
+        """(words, words hit, ids of the items with a window in the text, sorted as strings, whether one of them is a window of full length)."""
         words = words_of(text)
         n = len(words)
         ids = np.fromiter(map(self.vocabulary.get, words, [0] * n), dtype=np.int32, count=n)
@@ -113,6 +114,7 @@ class Index:
         run = np.cumsum(known)
         marks = np.zeros(n + 1, dtype=np.int64)
         found: set[int] = set()
+        full = False
         for length, prints in self.prints.items():
             if n < length:
                 continue
@@ -135,11 +137,12 @@ class Index:
                     marks[s] += 1
                     marks[s + length] -= 1
                     found.update(who)
+                    full |= length == self.window
         hit = int((np.cumsum(marks[:n]) > 0).sum())
-        return n, hit, sorted(self.items[i] for i in found)
+        return n, hit, sorted(self.items[i] for i in found), full
 
 
-_RESULT = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
+_RESULT = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("full", BooleanType())])
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,13 +150,13 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, out: str = "found") -> DataFrame:
-    """docs with one more column `out`: struct<n_words, n_hit, items: sorted array of item ids as strings>.
+    """docs with one more column `out`: struct<n_words, n_hit, items: sorted array of item ids as strings, full: whether a window of `window` words occurs>.
 
     A null text has no words; an item without words has no window; repeated items count by id once; a null
-    item id counts as the empty string. Rows of docs stay as they are, repeated or not.
+    item id counts as the empty string. Rows of docs stay as they are, repeated or not, and so do its columns, but for one named as
+    `out`, which is replaced. Empty tables on either side: no rows, or no hits.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = _items(benchmark, item_id, item_text)
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if total > broadcast_bytes:
@@ -162,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     @F.pandas_udf(_RESULT)
     def find(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index.value.hits(t) for t in texts], columns=["n_words", "n_hit", "items"])
+        return pd.DataFrame([index.value.hits(t) for t in texts], columns=["n_words", "n_hit", "items", "full"])
 
     return docs.withColumn(out, find(text_or_empty(text_col)))
 
@@ -241,12 +244,15 @@ def _by_shuffles(docs: DataFrame, items: DataFrame, text_col: str, window: int,
     hits = materialize(around.join(windows.where("window is not null").select("item", "length", "window").distinct(), ["length", "window"]), "hits")
     k = ["__t1", "__t2"]
     words = hits.select(*k, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).distinct().groupBy(*k).agg(F.count("*").alias("n_hit"))
-    who = hits.select(*k, "item").distinct().groupBy(*k).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = words.join(who, k).select(*[F.col(c).alias(f"f{c}") for c in k], "n_hit", "items").alias("f")
-    marked = docs.withColumns(key | {"__n": F.regexp_count(F.lower(t), F.lit("[0-9a-z\\x{80}-\\x{10ffff}]+"))}).alias("d")
-    joined = marked.join(found, (F.col("d.__t1") == F.col("f.f__t1")) & (F.col("d.__t2") == F.col("f.f__t2")), "left")
-    made = F.struct(F.col("d.__n").cast("long").alias("n_words"), F.coalesce("f.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("f.items", F.array().cast("array<string>")).alias("items"))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], made.alias(out))
+    who = hits.select(*k, "item", "length").distinct().groupBy(*k).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("length") == window).alias("full"))
+    found = words.join(who, k).select(*[F.col(c).alias(f"f{c}") for c in k], "n_hit", "items", "full").alias("f")
+    row = fresh(docs, "row")
+    n_words = F.regexp_count(F.translate(t, _UPPER, _UPPER.lower()), F.lit("[0-9a-z\\x{80}-\\x{10ffff}]+")).cast("long")
+    marked = docs.withColumn(row, F.struct(*[c.alias(n) for n, c in key.items()], n_words.alias("n"))).alias("d")
+    r = F.col(f"d.`{row}`")
+    joined = marked.join(found, (r["__t1"] == F.col("f.f__t1")) & (r["__t2"] == F.col("f.f__t2")), "left")
+    made = F.struct(r["n"].alias("n_words"), F.coalesce("f.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("f.items", F.array().cast("array<string>")).alias("items"), F.coalesce("f.full", F.lit(False)).alias("full"))
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != out], made.alias(out))
 
 
 def is_contaminated(found: str = "found"):
@@ -254,6 +260,10 @@ def is_contaminated(found: str = "found"):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    names = [f"`{c}`" for c in docs.columns]
-    return contamination(docs, benchmark, out="__found", **options).where(~is_contaminated("__found")).select(*names)
+    """The rows of docs without a whole window of `window` words of the benchmark and of which less than one word in ONE_IN is hit (by shorter items), with the columns of docs.
+
+    However long a document, a passage of the benchmark makes it go. Null and empty texts stay.
+    """
+    out = fresh(docs, "found")
+    marked = contamination(docs, benchmark, out=out, **options)
+    return marked.where(~F.col(f"`{out}`.full") & ~is_contaminated(f"`{out}`")).select(*[f"`{c}`" for c in docs.columns])
