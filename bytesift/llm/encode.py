@@ -34,12 +34,32 @@ def _moving() -> np.ndarray:
     return table
 
 
-def _stays(text: str) -> bool:
-    """Whether NFC leaves the text as it is, lowered or not."""
-    if text.isascii():
-        return True
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return not _moving()[np.minimum(codes, 0x30000)].any()
+class _Without:
+    """Whether a text has none of certain characters: those that a pattern matches and, where moving is set, those that NFC may change."""
+
+    def __init__(self, pattern: re.Pattern, moving: bool):
+        self.pattern, self.moving = pattern, moving
+        self.plain = bytes(c for c in range(128) if not pattern.match(chr(c)))
+        table = np.array([c > 127 and 0xD800 <= c < 0xE000 or bool(pattern.match(chr(c))) for c in range(1 << 16)])
+        self.table = table | _moving()[: 1 << 16] if moving else table
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return not text.encode().translate(None, self.plain)
+        units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
+        if not self.table[units].any():
+            return True
+        if self.pattern.search(text):
+            return False
+        if not self.moving:
+            return True
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")  # characters beyond 16 bits, perhaps
+        return not _moving()[np.minimum(codes, 0x30000)].any()
+
+
+@lru_cache(maxsize=2)
+def _without(odd: str, moving: bool) -> _Without:
+    return _Without(re.compile(odd), moving)
 
 
 class Encoder:
@@ -62,6 +82,7 @@ class Encoder:
         if any(re.search(r"\s", t) for t in added):  # could arise where pieces meet
             self.mode = "whole"
         self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self._plain = _without(_ODD_SPACE.pattern, True) if self.mode == "spaces dropped" else _without(_NOT_PLAIN.pattern, False)
         self._mark = None
         if self.mode == "spaces kept":  # the tokens that begin a piece: with a space, or a line end
             begins = [i for t, i in self.tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]
@@ -96,12 +117,12 @@ class Encoder:
         if self._added.search(text):
             return None
         if self.mode == "spaces kept":
-            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text or text[0] in _ENDS or text[-1] in _ENDS or _NOT_PLAIN.search(text):
+            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text or text[0] in _ENDS or text[-1] in _ENDS or not self._plain(text):
                 return None
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\0" + pieces[0]  # \0: has no space before it
             return pieces
-        if self.mode == "spaces dropped" and not _ODD_SPACE.search(text) and _stays(text):
+        if self.mode == "spaces dropped" and self._plain(text):
             if "\u03a3" not in text and "\u0130" not in text:  # else lower() looks at their neighbours
                 text = text.lower()
             return text.split()
