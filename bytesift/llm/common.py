@@ -80,11 +80,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Bounds what one Arrow batch holds; a value that the session has set lower is left."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def in_slices(batches, rows: int = 1024):
+    """Arrow batches of so many rows at most: what Python makes of one at a time is bounded without a setting of the session."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

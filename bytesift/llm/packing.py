@@ -1,17 +1,14 @@
 """Best-fit packing of token ids into sequences of a fixed length.
 
 Documents longer than a sequence are cut into pieces of full length, the first piece taking the rest. A full
-piece is a sequence of its own. The others are placed by best fit, group by group and longest first: offline best-fit
-decreasing takes the place of bounded-space online best fit. BestFit itself is online and bounded: at most
+piece is a sequence of its own and is not moved. The others are placed by bounded-space online best fit: at most
 OPEN_BINS sequences are open; an integer's bits mark which amounts of free space some open sequence has,
 so the tightest fit is the lowest set bit at or above the piece's length. Where no open sequence fits and
 all places are taken, the fullest closes first.
 
 Pieces are dealt to groups by a hash; a group's size is set (GROUP_PIECES), so their number grows with the
-input. Each group is packed by itself, the longest pieces first (as they come, best fit needs about 2 %
-more sequences for the short pieces; longest first, under 0.1 % more than the ids fill), ties in the
-order of the hash: a lost task packs again to the same places. A group of GROUP_PIECES cannot open OPEN_BINS
-sequences, so none closes early unless a group is far larger than that.
+input. Within a group they arrive in the order of the hash, so a lost task packs again to the same places; the next
+AHEAD of them are held and placed longest first. A group has many times more pieces than sequences may be open.
 """
 
 from __future__ import annotations
@@ -23,15 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, small_batches, text_or_empty
+from .common import in_slices, materialize, text_or_empty
 from .encode import encoder
 
 SEQUENCE = 1024
 END_ID = 2
-OPEN_BINS = 32_768
+OPEN_BINS = 1_024
 #: pieces that one group packs; groups are whole partitions
-GROUP_PIECES = 16_384
+GROUP_PIECES = 65_536
+#: pieces that are held to be placed longest first
+AHEAD = 1_024
 
 
 class BestFit:
@@ -74,15 +74,15 @@ class BestFit:
         return number, self.size - room
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def _cutter(path: str, size: int, end_id: int, with_ids: bool):
+def _cutter(path: str, size: int, end_id: int, with_ids: bool, id_type: pa.DataType):
     def cut(batches):
         enc = encoder(path)
-        schema = _PIECES_ARROW.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _PIECES_ARROW
-        for batch in batches:
+        fields = [("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+        schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if with_ids else fields)
+        for batch in in_slices(batches):
             rows: list[tuple] = []
             for key, ids in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
@@ -99,45 +99,44 @@ def _cutter(path: str, size: int, end_id: int, with_ids: bool):
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids the ids. A null text is empty: one piece, the end id."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(_cutter(vocabulary_path, size, end_id, with_ids), _PIECES + (", ids array<int>" if with_ids else ""))
+    """One row per piece: doc_id (of id_col's type), piece, start, length, ids_crc32, and with_ids the ids.
+
+    A null or empty text is one piece, the end id. Repeated rows and null ids are cut like any others; an empty table gives no piece.
+    """
+    kind = docs.schema[id_col].dataType
+    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return source.mapInArrow(_cutter(vocabulary_path, size, end_id, with_ids, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, " + _PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def pack(cut: DataFrame, *, size: int = SEQUENCE, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (as from pieces(), further columns stay).
+def pack(cut: DataFrame, *, size: int = SEQUENCE, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES, ahead: int = AHEAD) -> DataFrame:
+    """Adds sequence_id and offset to pieces (as from pieces(), further columns stay, those of these two names are replaced).
 
     Only the pieces' numbers decide. Repeated rows are placed each for itself. No rows: no rows.
     """
-    groups = max(1, math.ceil(cut.where(F.col("length") < size).count() / group_pieces))
+    cut = cut.drop("sequence_id", "offset")
+    short = cut.where(F.col("length") < size)
+    full = cut.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    groups = max(1, math.ceil(short.count() / group_pieces))
     names = cut.columns
     fill = names.index("length")
-    mix = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
-    dealt = cut.withColumn("__mix", mix).repartition(groups, "__mix").sortWithinPartitions(F.desc("length"), "__mix", "doc_id", "piece", "ids_crc32")
+    order = ["doc_id", "piece", "length", "ids_crc32"]
+    mix, other = F.xxhash64(*order), F.xxhash64(F.lit(1), *order)
+    dealt = short.repartition(groups, mix).sortWithinPartitions(other, *order)
 
     def place(batches):
         bins = BestFit(size, open_bins)
         from pyspark import TaskContext
 
         base = (TaskContext.get().partitionId() + 1) << 40
-        alone = 1 << 39  # full pieces are numbered apart
-        for batch in batches:
-            lengths = batch.column(fill).to_pylist()
-            numbers, offsets = [], []
-            for n in lengths:
-                if n == size:
-                    numbers.append(base + alone)
-                    offsets.append(0)
-                    alone += 1
-                else:
-                    number, offset = bins.place(n)
-                    numbers.append(base + number)
-                    offsets.append(offset)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], names=[*names, "sequence_id", "offset"])
+        for batch in in_slices(batches, ahead):
+            lengths = np.asarray(batch.column(fill))
+            numbers, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                numbers[i], offsets[i] = bins.place(int(lengths[i]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(numbers + base), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return dealt.mapInArrow(place, schema + ", sequence_id long, offset long")
+    return dealt.mapInArrow(place, schema + ", sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, **options) -> DataFrame:

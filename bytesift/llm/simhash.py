@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import keep_rows, materialize, row_keys, small_batches, text_or_empty
+from .common import keep_rows, materialize, row_keys, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -159,7 +159,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or blank text has fingerprint 0, linked like any other. A null id takes part, but never names a
     component unless the component has no other id; then component_id is null. Repeated rows stay repeated.
     """
-    small_batches(docs.sparkSession)
     rows = materialize(docs.select(*row_keys(docs, id_col, text_col), simhash_column(text_col, shingle).alias("fp")), "simhash")
     seen = materialize(rows.groupBy("fp").agg(F.min("__id").alias("first")), "simhash-distinct")
     roots = connected_components(near_links(seen.select("fp")))

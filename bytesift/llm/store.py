@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from .common import small_batches, text_or_empty
+from .common import in_slices, text_or_empty
 from .encode import encoder
 
 ROLL = 16
@@ -100,7 +100,7 @@ def _places(path: str, end_id: int):
         enc = encoder(path)
         row = TaskContext.get().partitionId() << 33
         sent: set[bytes] = set()  # of this task: a chunk's ids leave it once
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[tuple] = []
             for key, ids in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
                 ids = np.append(ids, np.array([end_id], dtype=ids.dtype))
@@ -124,7 +124,6 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int
     A null text is empty: the end id alone. Repeated ids are documents of their own, in any order among themselves; null ids come first.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     places = source.mapInArrow(_places(vocabulary_path, end_id), "doc_id long, row long, seq int, digest binary, n int, ids binary")
     # places without ids are spread at will; those with ids meet by digest, and the first keeps them
@@ -245,7 +244,6 @@ def read_summary(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     Every chunk is read, held against its digest and summed once, wherever it is; documents add up the sums of
     their chunks (CRC-32 is linear), so no ids are moved.
     """
-    small_batches(spark, 4096)
     sums = _read_chunks(spark, path).where("ids is not null").select("digest", "ids").mapInArrow(_checked(width), "digest binary, n int, crc long")
     e = _entries(_verified_recipes(spark, path)).join(sums.withColumnRenamed("n", "stored"), "digest", "left")
     gone = F.raise_error(F.lit("a chunk of a recipe is missing, or has another length")).cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
-from .common import materialize, small_batches
+from .common import materialize
 
 #: words of the dictionary and of the classifier that are broadcast, each; all others are joined
 FREQUENT = 50_000
@@ -152,7 +152,6 @@ def judge(pages: DataFrame, url_col: str = "url", *, rules=RULES, frequent: int
     pages with these names are replaced. frequent decides what is broadcast, not the result.
     """
     spark = pages.sparkSession
-    small_batches(spark, 10_000)
     host, path = host_and_path(url_col)
     split = pages.withColumns({"host": host, "path": path})
     hosts = materialize(split.groupBy("host").agg(F.count("*").alias("n")), "hosts")

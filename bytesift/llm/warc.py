@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import in_slices, materialize, text_or_empty
 
 SEGMENT_BYTES = 8_192
 CHUNK_BYTES = 3_000
@@ -93,7 +93,6 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     A null payload is empty. A row with a null id is always a response. Rows that share id and payload are records of
     one name, each as often as it is in pages; the smallest id's rows are all responses.
     """
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(text_or_empty(payload_col), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long_enough = rows.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
@@ -105,7 +104,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     def write(batches):
         schema = pa.schema([("value", pa.binary())])
         yield pa.RecordBatch.from_pydict({"value": [info]}, schema)
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             for page_id, url, payload, leader in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_pydict({"value": page_records(page_id, url, payload, leader, segment_bytes)}, schema)
 
