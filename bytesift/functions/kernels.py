@@ -81,29 +81,60 @@ def csv_tokens(data: np.ndarray, delimiter: int, quote: int, carry: int = 0) ->
     return pos[stays], found[pos][stays], out
 
 
-def csv_fields(data: np.ndarray, delimiter: int, quote: int) -> tuple[np.ndarray, ...]:
-    """(row, column, start, end, quoted) of every field. LF, CR LF and CR each end a row; a last row needs no end."""
-    pos, tok, _ = csv_tokens(data, delimiter, quote)
-    quotes = pos[tok == QUOTE]
-    keep = tok != QUOTE
-    pos, tok = pos[keep], tok[keep]
-    if len(pos):  # LF right after CR is one end of a row, at the CR
-        pair = np.concatenate(([False], (tok[1:] == LF) & (tok[:-1] == CR) & (pos[1:] == pos[:-1] + 1)))
-        size = np.ones(len(pos), dtype=np.int64)
+def csv_fields_of(data: np.ndarray, ends: np.ndarray, delimiter: int, quote: int) -> tuple[np.ndarray, ...]:
+    """(buffer, row, column, start, end, quoted) of every field of buffers that lie one after the other and end at ends.
+
+    Rows are counted, and quotes toggle, from each buffer's first byte. LF, CR LF and CR each end a row; a last row needs no end. start and end
+    are places in data.
+    """
+    lut = np.zeros(256, dtype=np.int8)
+    lut[[10, 13]] = LF, CR
+    lut[delimiter], lut[quote] = DELIMITER, QUOTE
+    kind = lut[data]
+    pos = np.flatnonzero(kind)
+    kind = kind[pos]
+    buffer = np.searchsorted(ends, pos, side="right")
+    is_quote = kind == QUOTE
+    total = np.cumsum(is_quote)
+    first = np.searchsorted(buffer, buffer, side="left")
+    inside = (total - total[first] + is_quote[first]) % 2 if len(pos) else total
+    keep = ~is_quote & (inside == 0)
+    pos, kind, buffer = pos[keep], kind[keep], buffer[keep]
+    size = np.ones(len(pos), dtype=np.int64)
+    if len(pos) > 1:  # LF right after CR is one end of a row, at the CR
+        pair = np.concatenate(([False], (kind[1:] == LF) & (kind[:-1] == CR) & (pos[1:] == pos[:-1] + 1) & (buffer[1:] == buffer[:-1])))
         size[:-1] += pair[1:]
-        pos, tok, size = pos[~pair], tok[~pair], size[~pair]
-    else:
-        size = np.zeros(0, dtype=np.int64)
-    is_end = tok != DELIMITER
-    start = np.concatenate(([0], pos + size))
-    end = np.concatenate((pos, [len(data)]))
-    row = np.concatenate(([0], np.cumsum(is_end)))
-    if len(data) == 0 or (start[-1] >= len(data) and (len(is_end) and is_end[-1])):
-        start, end, row = start[:-1], end[:-1], row[:-1]  # nothing after the last row's end
-    first = np.searchsorted(row, row, side="left")
-    col = np.arange(len(row)) - first
-    quoted = np.isin(start, quotes) & (start < end)
-    return row.astype(np.int64), col.astype(np.int64), start.astype(np.int64), end.astype(np.int64), quoted
+        pos, kind, buffer, size = pos[~pair], kind[~pair], buffer[~pair], size[~pair]
+    n = len(ends)
+    order = np.argsort(np.concatenate((pos * 2 + 1, ends * 2)), kind="stable")  # every buffer's end closes a field too, before what follows it
+    pos, buffer, size = np.concatenate((pos, ends))[order], np.concatenate((buffer, np.arange(n)))[order], np.concatenate((size, np.zeros(n, dtype=np.int64)))[order]
+    closes = np.concatenate((kind != DELIMITER, np.zeros(n, dtype=bool)))[order]
+    last = np.concatenate((np.zeros(len(kind), dtype=bool), np.ones(n, dtype=bool)))[order]
+    fresh = np.concatenate(([True], buffer[1:] != buffer[:-1]))[: len(pos)]
+    begins = np.concatenate(([0], ends[:-1])) if n else ends
+    start = np.where(fresh, begins[buffer], np.concatenate(([0], (pos + size)[:-1]))) if len(pos) else pos
+    after_row = np.concatenate(([True], closes[:-1])) | fresh if len(pos) else fresh
+    live = ~(last & (start == pos) & after_row)  # nothing after the last row's end
+    before = np.concatenate(([0], np.cumsum(closes)[:-1])) if len(pos) else pos
+    row = before - before[np.searchsorted(buffer, buffer, side="left")]
+    buffer, row, start, end = buffer[live], row[live], start[live], pos[live]
+    same = np.concatenate(([True], (row[1:] != row[:-1]) | (buffer[1:] != buffer[:-1])))[: len(row)]
+    column = np.arange(len(row)) - np.maximum.accumulate(np.where(same, np.arange(len(row)), 0)) if len(row) else row
+    quoted = np.zeros(len(row), dtype=bool)
+    some = start < end
+    quoted[some] = data[start[some]] == quote
+    return buffer, row.astype(np.int64), column.astype(np.int64), start.astype(np.int64), end.astype(np.int64), quoted
+
+
+def csv_fields(data: np.ndarray, delimiter: int, quote: int) -> tuple[np.ndarray, ...]:
+    """(row, column, start, end, quoted) of every field of one buffer."""
+    return csv_fields_of(data, np.array([len(data)]), delimiter, quote)[1:]
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of the given slices, one behind the other."""
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    return offsets, data[np.repeat(start - offsets[:-1], end - start) + np.arange(offsets[-1])]
 
 
 def unescape(raw: bytes, quoted: bool, quote: int, compat: str = "lossless") -> bytes:

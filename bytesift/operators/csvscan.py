@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -38,19 +39,30 @@ class Dialect:
             raise SpecError("compat is lossless or strict")
 
 
+#: fields of one batch that is sent on
+_FIELDS = 1 << 17
+
+
+def _strung(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of a batch's buffers, one behind the other: no copy."""
+    column = batch.columns[n_keys]
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets[1:] - offsets[0]
+
+
 def _map(df: DataFrame, col: str, keys: Sequence[str], make, extra: str) -> DataFrame:
+    """make(data, ends) yields (the buffers that rows come from, arrays of extra); whole batches at a time."""
     schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    names = [x.split()[0] for x in extra.split(", ")]
+    names = [x.strip().split()[0] for x in extra.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for i, data in enumerate(batch.columns[len(keys)].to_pylist()):
-                columns = make(np.frombuffer(data, dtype=np.uint8))
-                size = len(columns[0])
-                for at in range(0, size, 1 << 17):
-                    part = [c[at : at + (1 << 17)] for c in columns]
-                    same = pa.array(np.full(len(part[0]), i))
-                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[: len(keys)]), *(p if isinstance(p, pa.Array) else pa.array(p) for p in part)], names=[*keys, *names])
+            if batch.num_rows:
+                for buffer, columns in make(*_strung(batch, len(keys))):
+                    same = pa.array(buffer)
+                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[: len(keys)]), *(p if isinstance(p, pa.Array) else pa.array(p) for p in columns)], names=[*keys, *names])
 
     return df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("binary").alias("__data")).mapInArrow(run, schema + extra)
 
@@ -59,59 +71,107 @@ def tokens(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = D
     """keys, pos, token: quotes, and delimiters and line ends outside them."""
     name = np.array(["", *(TOKENS[i] for i in range(1, 5))], dtype=object)
 
-    def make(data):
-        pos, tok, _ = kernels.csv_tokens(data, ord(dialect.delimiter), ord(dialect.quote))
-        return [pos.astype(np.int64), pa.array(name[tok], pa.string())]
+    def make(data, ends):
+        lut = np.zeros(256, dtype=np.int64)
+        lut[[10, 13]] = kernels.LF, kernels.CR
+        lut[ord(dialect.delimiter)], lut[ord(dialect.quote)] = kernels.DELIMITER, kernels.QUOTE
+        token = lut[data]
+        pos = np.flatnonzero(token)
+        token = token[pos]
+        buffer = np.searchsorted(ends, pos, side="right")
+        is_quote = token == kernels.QUOTE
+        total = np.cumsum(is_quote)
+        before = np.concatenate(([0], total))[np.searchsorted(buffer, buffer, side="left")]
+        stays = is_quote | ((total - before) % 2 == 0)
+        pos, token, buffer = pos[stays], token[stays], buffer[stays]
+        begins = np.concatenate(([0], ends[:-1]))
+        for at in range(0, len(pos), _FIELDS):
+            s = slice(at, at + _FIELDS)
+            yield buffer[s], [pos[s] - begins[buffer[s]], pa.array(name[token[s]], pa.string())]
 
     return _map(df, col, keys, make, "pos long, token string")
 
 
-def fields(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect()) -> DataFrame:
-    """keys, row, col, start, end, quoted, raw, value; a header row counts as row -1.
+def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, quoted: np.ndarray, dialect: Dialect) -> pa.Array:
+    """The values of fields as text: quotes stripped and halved; bytes that are no UTF-8 are replaced."""
+    q = ord(dialect.quote)
+    inner = quoted if dialect.compat == "strict" else quoted & (end - start >= 2) & (data[np.maximum(end - 1, 0)] == q)
+    a = np.where(inner, start + 1, start)
+    b = np.maximum(np.where(inner, end - 1, end), a)
+    offsets, content = kernels.slices(data, a, b)
+    binary = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(content)])
+    if quoted.any() and (content == q).any():
+        binary = pc.if_else(pa.array(quoted), pc.replace_substring(binary, bytes([q, q]), bytes([q])), binary)
+    try:
+        return binary.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in binary.to_pylist()], pa.string())
+
 
-    raw and value are expressions over the buffer: a plan that does not name them does not make them.
+def fields(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect(), content: bool = True) -> DataFrame:
+    """keys, row, col, start, end, quoted, and with content raw (bytes) and value (text); a header row counts as row -1.
+
+    Batches of buffers are walked together and fields are cut out where they are found: a buffer never leaves its task.
     """
 
-    def make(data):
-        row, column, start, end, quoted = kernels.csv_fields(data, ord(dialect.delimiter), ord(dialect.quote))
-        return [row - int(dialect.header), column.astype(np.int32), start, end, pa.array(quoted)]
+    def make(data, ends):
+        buffer, row, column, start, end, quoted = kernels.csv_fields_of(data, ends, ord(dialect.delimiter), ord(dialect.quote))
+        begins = np.concatenate(([0], ends[:-1]))
+        for at in range(0, len(row), _FIELDS):
+            s = slice(at, at + _FIELDS)
+            base = begins[buffer[s]]
+            out = [row[s] - int(dialect.header), column[s].astype(np.int32), start[s] - base, end[s] - base, pa.array(quoted[s])]
+            if content:
+                offsets, raw = kernels.slices(data, start[s], end[s])
+                out.append(pa.Array.from_buffers(pa.binary(), len(base), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
+                out.append(_texts(data, start[s], end[s], quoted[s], dialect))
+            yield buffer[s], out
+
+    return _map(df, col, keys, make, "row long, col int, start long, end long, quoted boolean" + (", raw binary, value string" if content else ""))
+
 
-    source = df.withColumn("__buffer", F.col(col).cast("binary"))
-    found = _map(source, "__buffer", [*keys, "__buffer"], make, "row long, col int, start long, end long, quoted boolean")
-    raw = F.substring("__buffer", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    return found.withColumn("raw", raw).withColumn("value", unescaped(F.col("raw"), F.col("quoted"), dialect)).drop("__buffer")
+def _rows(df: DataFrame, col: str, keys: Sequence[str], dialect: Dialect) -> DataFrame:
+    """keys, row, fields: every row with its values, the header as row -1; made where the buffer is, without a shuffle."""
 
+    def make(data, ends):
+        buffer, row, column, start, end, quoted = kernels.csv_fields_of(data, ends, ord(dialect.delimiter), ord(dialect.quote))
+        first = np.flatnonzero(column == 0)
+        bounds = np.concatenate((first, [len(row)]))
+        at = 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _FIELDS, side="right")) - 1)
+            s = slice(int(bounds[at]), int(bounds[to]))
+            lists = pa.ListArray.from_arrays(pa.array((bounds[at : to + 1] - bounds[at]).astype(np.int32)), _texts(data, start[s], end[s], quoted[s], dialect))
+            yield buffer[first[at:to]], [row[first[at:to]] - int(dialect.header), lists]
+            at = to
 
-def unescaped(raw: Column, quoted: Column, dialect: Dialect = Dialect()) -> Column:
-    """A field's value as text."""
-    q = dialect.quote
-    text = F.decode(raw, "UTF-8")
-    inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    paired = (F.length(text) >= 2) & text.startswith(q) & text.endswith(q)
-    bare = inner if dialect.compat == "strict" else F.when(paired, inner).otherwise(text)
-    return F.when(quoted, F.replace(bare, F.lit(q + q), F.lit(q))).otherwise(text)
+    return _map(df, col, keys, make, "row long, fields array<string>")
 
 
 def rows(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect()) -> DataFrame:
     """keys, row, fields (array of values): rows as wide as they are, without the header."""
-    f = fields(df, col, keys=keys, dialect=dialect).where("row >= 0")
-    return f.groupBy(*keys, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda s: s["value"]).alias("fields"))
+    return _rows(df, col, keys, dialect).where("row >= 0")
 
 
 def headers(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect) -> DataFrame:
     """keys, headers (array): the first row of buffers read with a header; no row for empty buffers."""
     if not dialect.header:
         raise SpecError("the dialect has no header")
-    f = fields(df, col, keys=keys, dialect=dialect).where("row = -1")
-    return f.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda s: s["value"]).alias("headers"))
+    return _rows(df, col, keys, dialect).where("row = -1").select(*keys, F.col("fields").alias("headers"))
 
 
 def row_count(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect()) -> DataFrame:
     """keys, n_rows: rows without the header."""
-    f = fields(df, col, keys=keys, dialect=dialect).where("col = 0 and row >= 0")
+    f = fields(df, col, keys=keys, dialect=dialect, content=False).where("col = 0 and row >= 0")
     return f.groupBy(*keys).agg(F.count("*").alias("n_rows"))
 
 
+def field_sizes(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect()) -> DataFrame:
+    """keys, n_fields, n_bytes: the number of fields, the header's too, and the sum of the bytes they take in the buffer."""
+    f = fields(df, col, keys=keys, dialect=dialect, content=False)
+    return f.groupBy(*keys).agg(F.count("*").alias("n_fields"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+
+
 def token_row_count(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = Dialect()) -> DataFrame:
     """keys, n_rows by LF tokens alone, header included."""
     return tokens(df, col, keys=keys, dialect=dialect).groupBy(*keys).agg(F.count_if(F.col("token") == "newline").alias("n_rows"))
