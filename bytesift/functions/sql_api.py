@@ -5,6 +5,8 @@ Targets are written name=characters, a range as name=a..b, separated by semicolo
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -13,6 +15,7 @@ from . import kernels
 from .spec import SpecBuilder, TargetSpec
 
 
+@lru_cache(maxsize=256)
 def parse_spec(text: str) -> TargetSpec:
     b = SpecBuilder()
     for part in text.split(";"):

@@ -46,3 +46,16 @@ def fit_plane(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
     rest = syy - 2 * beta @ m[:k, k] + beta @ m[:k, :k] @ beta
     whole = syy - sy * sy / max(n, 1)
     return dict(zip(["intercept", *xs], map(float, beta), strict=True)) | {"r2": float(1 - rest / whole) if whole else 1.0}
+
+
+def plane(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """fit_plane() as one row: intercept, a column b_<x> per variable, r2."""
+    fit = fit_plane(df, y, xs)
+    names = ["intercept", *[f"b_{x}" for x in xs], "r2"]
+    return df.sparkSession.createDataFrame([tuple(fit.values())], ", ".join(f"`{n}` double" for n in names))
+
+
+def quadratic(df: DataFrame, y: str, x: str) -> DataFrame:
+    """Least squares of y on 1, x and x squared: one row with intercept, b_x1, b_x2, r2."""
+    squares = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x1"), (F.col(x).cast("double") * F.col(x)).alias("x2"))
+    return plane(squares, "y", ["x1", "x2"])

@@ -92,7 +92,7 @@ def tokens(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = D
     return _map(df, col, keys, make, "pos long, token string")
 
 
-def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, quoted: np.ndarray, dialect: Dialect) -> pa.Array:
+def field_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, quoted: np.ndarray, dialect: Dialect) -> pa.Array:
     """The values of fields as text: quotes stripped and halved; bytes that are no UTF-8 are replaced."""
     q = ord(dialect.quote)
     inner = quoted if dialect.compat == "strict" else quoted & (end - start >= 2) & (data[np.maximum(end - 1, 0)] == q)
@@ -124,7 +124,7 @@ def fields(df: DataFrame, col: str, *, keys: Sequence[str], dialect: Dialect = D
             if content:
                 offsets, raw = kernels.slices(data, start[s], end[s])
                 out.append(pa.Array.from_buffers(pa.binary(), len(base), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
-                out.append(_texts(data, start[s], end[s], quoted[s], dialect))
+                out.append(field_texts(data, start[s], end[s], quoted[s], dialect))
             yield buffer[s], out
 
     return _map(df, col, keys, make, "row long, col int, start long, end long, quoted boolean" + (", raw binary, value string" if content else ""))
@@ -141,7 +141,7 @@ def _rows(df: DataFrame, col: str, keys: Sequence[str], dialect: Dialect) -> Dat
         while at < len(first):
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _FIELDS, side="right")) - 1)
             s = slice(int(bounds[at]), int(bounds[to]))
-            lists = pa.ListArray.from_arrays(pa.array((bounds[at : to + 1] - bounds[at]).astype(np.int32)), _texts(data, start[s], end[s], quoted[s], dialect))
+            lists = pa.ListArray.from_arrays(pa.array((bounds[at : to + 1] - bounds[at]).astype(np.int32)), field_texts(data, start[s], end[s], quoted[s], dialect))
             yield buffer[first[at:to]], [row[first[at:to]] - int(dialect.header), lists]
             at = to
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import kernels
 from ..functions.spec import Codepoint, Group, SpecError, TargetSpec
+from .filters import MatchFilter, QuoteFilter
 
 
 def _is_binary(df: DataFrame, col: str) -> bool:
@@ -81,31 +82,29 @@ def _arrow(spec: TargetSpec, keep, n_keys: int):
     return run
 
 
-def _quotes_of_rows(quote: int):
-    """The quote filter over strung-together rows: the state starts anew with each row."""
-
-    def keep(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        is_quote = ids == quote
-        total = np.cumsum(is_quote)
-        before = np.concatenate(([0], total))[np.searchsorted(row, row, side="left")]
-        return is_quote | ((total - before) % 2 == 0)
-
-    return keep
-
-
-def find(df: DataFrame, col: str, spec: TargetSpec, *, keys: Sequence[str], quote_filter: str | None = None, strategy: str = "auto") -> DataFrame:
+def find(df: DataFrame, col: str, spec: TargetSpec, *, keys: Sequence[str], quote_filter: str | None = None, match_filter: MatchFilter | None = None, strategy: str = "auto") -> DataFrame:
     """One row per match: keys, pos (byte offset in the row's buffer), lit, name. quote_filter names the target that toggles: matches between
-    its pairs go, it stays itself."""
-    if quote_filter is not None and quote_filter not in spec.literals:
-        raise SpecError(f"the filter's target {quote_filter!r} is not declared")
+    its pairs go, it stays itself. match_filter is any filter of filters.py (arrow only). Keys may not be named as the other columns."""
+    if quote_filter is not None:
+        if match_filter is not None:
+            raise ValueError("give quote_filter or match_filter; Both() joins two filters")
+        match_filter = QuoteFilter(quote_filter)
+    for name in match_filter.needs if match_filter else ():
+        if name not in spec.literals:
+            raise SpecError(f"the filter's target {name!r} is not declared")
     if strategy not in ("auto", "arrow", "sql"):
         raise ValueError("strategy is auto, arrow or sql")
+    if clash := {"pos", "lit", "name"} & {k.lower() for k in keys}:
+        raise ValueError(f"a key is named {sorted(clash)[0]!r}, as a column of the result: rename it first")
     source = _with_target(df.where(F.col(col).isNotNull()), col, spec)
     if strategy == "sql":
         if _is_binary(df, col) or spec.byte_only():
             raise SpecError("the sql strategy takes characters of text; use arrow for bytes")
-        return _sql(source, col, spec, keys, quote_filter)
-    keep = None if quote_filter is None else _quotes_of_rows(spec.literals[quote_filter])
+        if match_filter is not None and not isinstance(match_filter, QuoteFilter):
+            raise ValueError("the sql strategy knows the quote filter only")
+        return _sql(source, col, spec, keys, match_filter.quote if match_filter else None)
+    literals = dict(spec.literals)
+    keep = None if match_filter is None else lambda rows, ids: match_filter.keep(rows, ids, literals)
     picked = source.select(*keys, F.col(col).cast("binary").alias("__data"))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return picked.mapInArrow(_arrow(spec, keep, len(keys)), f"{schema}{', ' if keys else ''}pos long, lit int, name string")

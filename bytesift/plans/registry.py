@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql_api, stats
-from ..functions.spec import TargetSpec
-from ..operators import csvscan, prefix, scan
+from ..functions.spec import SpecError, TargetSpec
+from ..operators import csvscan, filters, prefix, scan
 from ..operators.csvscan import Dialect
+from ..sources import csv_files
+from ..streaming.carry import find_in_stream
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,18 +212,18 @@ _add(
 # CSV: cases with known rows
 
 CSV_CASES = {
-    "csv_simple": ("a,b,c\n1,2,3\nx,y,z\n", Dialect(), [["a", "b", "c"], ["1", "2", "3"], ["x", "y", "z"]]),
-    "csv_quoted": ('"a,b",c\n"line1\nline2",b\n', Dialect(), [["a,b", "c"], ["line1\nline2", "b"]]),
-    "csv_unescape": ('"he said ""hi""",b\n"",c\n', Dialect(), [['he said "hi"', "b"], ["", "c"]]),
-    "csv_tab": ("a\tb\tc\n", Dialect(delimiter="\t"), [["a", "b", "c"]]),
-    "csv_single_quote": ("'he said ''hi''',b\n", Dialect(quote="'"), [["he said 'hi'", "b"]]),
-    "csv_crlf_mixed": ("a\nb\r\nc\rd", Dialect(), [["a"], ["b"], ["c"], ["d"]]),
-    "csv_empty_fields": (",,,\na,b,", Dialect(), [["", "", "", ""], ["a", "b", ""]]),
-    "csv_ragged": ("a\nb,c\nd,e,f\n", Dialect(), [["a"], ["b", "c"], ["d", "e", "f"]]),
-    "csv_blank_line": ("a\n\nb\n", Dialect(), [["a"], [""], ["b"]]),
-    "csv_large_field": ("x" * 200 + ",short\n" + '"' + "," * 200 + '",b\n', Dialect(), [["x" * 200, "short"], ["," * 200, "b"]]),
-    "csv_mid_quote": ('ab"c,d"e,f\n', Dialect(), [['ab"c,d"e', "f"]]),
-    "csv_unclosed": ('"abc', Dialect(), [['"abc']]),
+    "csv_simple": ("id,unit\n7,km\n8,mile\n", Dialect(), [["id", "unit"], ["7", "km"], ["8", "mile"]]),
+    "csv_quoted": ('7,"north, east"\n"up\nand down",8\n', Dialect(), [["7", "north, east"], ["up\nand down", "8"]]),
+    "csv_unescape": ('k,"a ""tall"" tree"\n"",""""\n', Dialect(), [["k", 'a "tall" tree'], ["", '"']]),
+    "csv_tab": ("lake\t12,5\triver\n", Dialect(delimiter="\t"), [["lake", "12,5", "river"]]),
+    "csv_single_quote": ("5,'six o''clock'\n", Dialect(quote="'"), [["5", "six o'clock"]]),
+    "csv_crlf_mixed": ("one\r\ntwo\rthree\nfour", Dialect(), [["one"], ["two"], ["three"], ["four"]]),
+    "csv_empty_fields": (",\n9,,\n", Dialect(), [["", ""], ["9", "", ""]]),
+    "csv_ragged": ("p,q,r\ns\nt,u\n", Dialect(), [["p", "q", "r"], ["s"], ["t", "u"]]),
+    "csv_blank_line": ("\nx\n\n", Dialect(), [[""], ["x"], [""]]),
+    "csv_large_field": ("m" * 300 + ",1\n" + '"' + ",\n" * 150 + '",2\n', Dialect(), [["m" * 300, "1"], [",\n" * 150, "2"]]),
+    "csv_mid_quote": ('5" pipe,"x,y",6"\n', Dialect(), [['5" pipe,"x', 'y",6"']]),
+    "csv_unclosed": ('z,"open end', Dialect(), [["z", '"open end']]),
 }
 
 
@@ -248,15 +252,16 @@ for _name, (_content, _dialect, _rows) in CSV_CASES.items():
         lambda spark, d, t=_content, x=_dialect: csvscan.fields(_case(spark, t), "content", keys=["case_id"], dialect=x).select("case_id", "row", "col", "value"),
         " UNION ALL ".join(f"SELECT 1 AS case_id, CAST({r} AS BIGINT) AS row, {c} AS col, {_literal(v)} AS value" for r, c, v in _cells),
     )
-_HEADED = "name,age\nAlice,30\nBob,25\n"
-_add("csv_header", lambda spark, d: csvscan.headers(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)).select("case_id", F.concat_ws("|", "headers").alias("headers")), "SELECT 1 AS case_id, 'name|age' AS headers")
-_add("csv_rows", lambda spark, d: csvscan.named(csvscan.rows(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)), ["name", "age"]), "SELECT 1 AS case_id, CAST(0 AS BIGINT) AS row, 'Alice' AS name, '30' AS age UNION ALL SELECT 1, 1, 'Bob', '25'")
-_add("csv_row_count", lambda spark, d: csvscan.row_count(_case(spark, "a\nb\r\nc\rd"), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(4 AS BIGINT) AS n_rows")
-_add("csv_token_row_count", lambda spark, d: csvscan.token_row_count(_case(spark, "a\nb\r\nc\rd"), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(2 AS BIGINT) AS n_rows")
+_HEADED = "city,river\nUlm,Danube\n\"Bonn, old\",Rhine\n"
+_add("csv_header", lambda spark, d: csvscan.headers(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)).select("case_id", F.concat_ws("|", "headers").alias("headers")), "SELECT 1 AS case_id, 'city|river' AS headers")
+_add("csv_rows", lambda spark, d: csvscan.named(csvscan.rows(_case(spark, _HEADED), "content", keys=["case_id"], dialect=Dialect(header=True)), ["city", "river"]), "SELECT 1 AS case_id, CAST(0 AS BIGINT) AS row, 'Ulm' AS city, 'Danube' AS river UNION ALL SELECT 1, 1, 'Bonn, old', 'Rhine'")
+_MIXED_ENDS = "p\r\nq\nr\rs\n"
+_add("csv_row_count", lambda spark, d: csvscan.row_count(_case(spark, _MIXED_ENDS), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(4 AS BIGINT) AS n_rows")
+_add("csv_token_row_count", lambda spark, d: csvscan.token_row_count(_case(spark, _MIXED_ENDS), "content", keys=["case_id"]), "SELECT 1 AS case_id, CAST(3 AS BIGINT) AS n_rows")
 _add(
     "csv_raw",
-    lambda spark, d: csvscan.fields(_case(spark, '"a,b",c\n'), "content", keys=["case_id"]).select("case_id", "col", "start", "end", "quoted", F.decode("raw", "UTF-8").alias("raw")),
-    "SELECT 1 AS case_id, 0 AS col, CAST(0 AS BIGINT) AS start, CAST(5 AS BIGINT) AS \"end\", true AS quoted, '\"a,b\"' AS raw UNION ALL SELECT 1, 1, 6, 7, false, 'c'",
+    lambda spark, d: csvscan.fields(_case(spark, 'v,"w,w"\n'), "content", keys=["case_id"]).select("case_id", "col", "start", "end", "quoted", F.decode("raw", "UTF-8").alias("raw")),
+    "SELECT 1 AS case_id, 0 AS col, CAST(0 AS BIGINT) AS start, CAST(1 AS BIGINT) AS \"end\", false AS quoted, 'v' AS raw UNION ALL SELECT 1, 1, 2, 7, true, '\"w,w\"'",
 )
 _add("csv_tokens", lambda spark, d: csvscan.tokens(_table(spark, d, "pages"), "html", keys=["page_id"]), f"WITH {oracle.matches('pages', 'page_id', 'html', STRUCTURE)}, q AS (SELECT *, sum(CASE WHEN name = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) % 2 AS inside FROM m) SELECT page_id, pos, CASE name WHEN 'lf' THEN 'newline' ELSE name END AS token FROM q WHERE name = 'quote' OR inside = 0")
 
@@ -309,6 +314,187 @@ _add(
 )
 
 
+_add(
+    "csv_field_sizes",
+    lambda spark, d: csvscan.field_sizes(csvscan.to_csv(_table(spark, d, "documents"), _DOCS), "line", keys=["doc_id"]),
+    f"WITH v AS (SELECT doc_id, {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS v{i}" for i, c in enumerate(_DOCS))} FROM documents), "
+    f"c AS (SELECT doc_id, unnest([{_CELLS}]) AS raw FROM v) SELECT doc_id, count(*) AS n_fields, CAST(sum(strlen(raw)) AS BIGINT) AS n_bytes FROM c GROUP BY doc_id",
+)
+_add(
+    "csv_field_count",
+    lambda spark, d: csvscan.rows(csvscan.to_csv(_table(spark, d, "documents"), _DOCS), "line", keys=["doc_id"]).select("doc_id", "row", F.size("fields").alias("n_fields")),
+    f"SELECT doc_id, CAST(0 AS BIGINT) AS row, {len(_DOCS)} AS n_fields FROM documents",
+)
+_add(
+    "csv_empty",
+    lambda spark, d: csvscan.rows(_table(spark, d, "documents").select("doc_id", F.lit("").alias("line")), "line", keys=["doc_id"]).select("doc_id", "row", F.size("fields").alias("n_fields")),
+    "SELECT doc_id, CAST(0 AS BIGINT) AS row, 0 AS n_fields FROM documents WHERE false",
+)
+
+
+# CSV files, read in byte ranges
+
+_SHARED: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, or in a local session without one under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _SHARED.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="bytesift-csv-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, d: str, table: str, columns: list[str]) -> list[str]:
+    """The table as CSV files: their paths."""
+    path = _folder(spark, table)
+    csvscan.to_csv(_table(spark, d, table), columns, end="").select("line").write.text(path)
+    return sorted(r.file for r in spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).collect())  # one row per file
+
+
+#: small, so that even small files are read in many ranges
+_RANGE = 1 << 18
+_add(
+    "csv_file_rows",
+    lambda spark, d: csvscan.named(csv_files.read_rows(spark, _files(spark, d, "documents", _DOCS), range_bytes=_RANGE), _DOCS).drop("path", "row"),
+    f"SELECT {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in _DOCS)} FROM documents",
+)
+_add(
+    "csv_file_fields",
+    lambda spark, d: csv_files.read_fields(spark, _files(spark, d, "orders", _ORDERS), range_bytes=_RANGE).groupBy("col").agg(F.count("*").alias("n_fields"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.countDistinct("value").alias("n_values")),
+    " UNION ALL ".join(f"SELECT {i} AS col, count(*) AS n_fields, CAST(sum(strlen(CAST({c} AS VARCHAR))) AS BIGINT) AS n_bytes, count(DISTINCT {c}) AS n_values FROM orders" for i, c in enumerate(_ORDERS)),
+)
+
+
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    csv_files.register(spark)
+    return spark.read.format("csvscan").load(",".join(_files(spark, d, "customer", ["c_custkey", "c_name", "c_mktsegment"]))).select("col", "value")
+
+
+_add("csv_source", _source, " UNION ALL ".join(f"SELECT {i} AS col, CAST({c} AS VARCHAR) AS value FROM customer" for i, c in enumerate(["c_custkey", "c_name", "c_mktsegment"])))
+
+# filters by protocol
+
+_add(
+    "filter_every_third",
+    lambda spark, d: scan.find(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"], match_filter=filters.EveryNth(3)).select("doc_id", "pos", "name"),
+    f"WITH {_M}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM m) SELECT doc_id, pos, name FROM n WHERE k % 3 = 0",
+)
+_add(
+    "filter_quotes_then_every_second",
+    lambda spark, d: scan.find(_table(spark, d, "pages"), "html", STRUCTURE, keys=["page_id"], match_filter=filters.Both(filters.QuoteFilter("quote"), filters.EveryNth(2))).select("page_id", "pos", "name"),
+    f"WITH {oracle.matches('pages', 'page_id', 'html', STRUCTURE)}, q AS (SELECT *, sum(CASE WHEN name = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) % 2 AS inside FROM m), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS k FROM q WHERE name = 'quote' OR inside = 0) SELECT page_id, pos, name FROM n WHERE k % 2 = 0",
+)
+_add("filter_none", lambda spark, d: scan.find(_table(spark, d, "documents"), "text", COMMA, keys=["doc_id"], match_filter=filters.NoFilter()), oracle.find("documents", "doc_id", "text", COMMA))
+
+# bytes: every value, and sequences that the buffer's end cuts off
+
+_add(
+    "lut_all_bytes",
+    lambda spark, d: scan.find(spark.range(256).select(F.col("id").cast("int").alias("byte"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("content")), "content", MIXED, keys=["byte"]).select("byte", "lit", "name"),
+    f"WITH c AS (SELECT CAST(b AS INTEGER) AS byte, chr(CAST(b AS INTEGER)) AS ch FROM range(1, 128) AS r(b)) SELECT byte, {oracle.case(MIXED, False)} AS lit, {oracle.case(MIXED, True)} AS name FROM c WHERE {oracle.case(MIXED, False)} IS NOT NULL",
+)
+_CUT_AT = 1001
+_add(
+    "find_truncated",
+    lambda spark, d: scan.find(_table(spark, d, "documents").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, _CUT_AT).alias("content")), "content", SHARED, keys=["doc_id"]),
+    f"WITH {oracle.matches('documents', 'doc_id', 'text', SHARED)} SELECT doc_id, pos, lit, name FROM m WHERE pos + strlen(ch) <= {_CUT_AT}",
+)
+_LIMITS = range(1, 5)
+
+
+def _limits(spark: SparkSession, d: str) -> DataFrame:
+    """For every limit on the number of targets whether a set of three is taken."""
+
+    def taken(limit: int) -> bool:
+        try:
+            _spec_of(limit)
+        except SpecError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, taken(n)) for n in _LIMITS], "max_literals int, taken boolean")
+
+
+def _spec_of(limit: int) -> TargetSpec:
+    b = TargetSpec.builder()
+    for i in range(3):
+        b.codepoints(f"t{i}", "abc"[i])
+    return b.options(max_literals=limit).build()
+
+
+_add("namespace_limit", _limits, " UNION ALL ".join(f"SELECT {n} AS max_literals, {'true' if n >= 3 else 'false'} AS taken" for n in _LIMITS))
+_ERRORS: dict[str, Callable[[SparkSession], object]] = {
+    "filter names an unknown target": lambda spark: scan.find(spark.createDataFrame([("a",)], "t string"), "t", COMMA, keys=[], quote_filter="quote"),
+    "no target": lambda spark: TargetSpec.builder().build(),
+    "range upside down": lambda spark: _spec(("range", "r", 9, 3)),
+    "delimiter is the quote": lambda spark: Dialect(delimiter='"'),
+    "no header in the dialect": lambda spark: csvscan.headers(spark.createDataFrame([("a",)], "t string"), "t", keys=[], dialect=Dialect()),
+    "all in order": lambda spark: _spec(("range", "r", 3, 9)),
+}
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    def raised(make) -> bool:
+        try:
+            make(spark)
+        except SpecError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, raised(make)) for name, make in _ERRORS.items()], "name string, raised boolean")
+
+
+_add("spec_errors", _errors, " UNION ALL ".join(f"SELECT '{name}' AS name, {'false' if name == 'all in order' else 'true'} AS raised" for name in _ERRORS))
+
+# streams: documents as chunks of 999 bytes, which cut characters in two
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.encode("text", "UTF-8").alias("content"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length("content") - 1) / 999).cast("int"), F.lit(0))))
+    chunks = docs.where("octet_length(content) > 0").withColumn("k", at).select("stream_id", F.col("k").cast("long").alias("seq"), F.expr("substring(content, 999 * k + 1, 999)").alias("data"))
+    folder, out = _folder(spark, "chunks"), _folder(spark, "stream-matches")
+    chunks.write.parquet(folder)
+    found = find_in_stream(spark.readStream.schema(chunks.schema).parquet(folder), SHARED)
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select(F.col("stream_id").cast("long").alias("doc_id"), "pos", "lit", "name")
+
+
+_add("stream_find", _stream, oracle.find("documents", "doc_id", "text", SHARED))
+
+# statistics
+
+_add(
+    "lag_correlation",
+    lambda spark, d: stats.lag_correlation(_table(spark, d, "documents"), "n_chars", ["lang"], "doc_id").select(F.round("lag1", 6).alias("lag1")),
+    "WITH l AS (SELECT n_chars AS y, lag(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS x FROM documents) SELECT round(corr(y, x), 6) AS lag1 FROM l",
+)
+
+
+def _plane_sql(table: str, y: str, a: str, b: str) -> str:
+    return (
+        f"WITH s AS (SELECT var_pop({a}) AS va, var_pop({b}) AS vb, covar_pop({a}, {b}) AS cab, covar_pop({y}, {a}) AS cya, covar_pop({y}, {b}) AS cyb, avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({y}) AS vy FROM {table}), "
+        "f AS (SELECT *, (cya * vb - cyb * cab) / (va * vb - cab * cab) AS p, (cyb * va - cya * cab) / (va * vb - cab * cab) AS q FROM s) "
+    )
+
+
+_add(
+    "cost_model_plane",
+    lambda spark, d: stats.plane(_table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount")]), "l_extendedprice", ["l_quantity", "l_discount"]).select(F.round("b_l_quantity", 3).alias("b_quantity"), F.round("r2", 6).alias("r2")),
+    _plane_sql("(SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b FROM lineitem)", "y", "a", "b") + "SELECT round(p, 3) AS b_quantity, round((p * cya + q * cyb) / vy, 6) AS r2 FROM f",
+)
+_add(
+    "cost_model_quadratic",
+    lambda spark, d: stats.quadratic(_table(spark, d, "lineitem"), "l_extendedprice", "l_quantity").select(F.round("b_x1", 2).alias("b_x1"), F.round("r2", 6).alias("r2")),
+    _plane_sql("(SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_quantity AS DOUBLE) * l_quantity AS b FROM lineitem)", "y", "a", "b") + "SELECT round(p, 2) AS b_x1, round((p * cya + q * cyb) / vy, 6) AS r2 FROM f",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

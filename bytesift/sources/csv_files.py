@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import kernels
-from ..operators.csvscan import Dialect
+from ..operators.csvscan import Dialect, field_texts
 
 RANGE_BYTES = 64 << 20
 
@@ -41,14 +41,15 @@ def _row_starts(data: np.ndarray, dialect: Dialect, carry: int, at_begin: bool,
     return np.concatenate(([0], starts)) if at_begin and len(data) else starts
 
 
-def _ranges(spark: SparkSession, paths: list[str], size: int) -> DataFrame:
+def _ranges(spark: SparkSession, paths: list[str], size: int) -> tuple[DataFrame, int]:
+    """(a row per range, dealt one to a partition as far as that is sensible, the number of partitions)."""
     rows = []
     for path in paths:  # lengths alone
         with _open(path) as f:
             total = f.size()
         rows += [(path, k, k * size, min(total, (k + 1) * size), total) for k in range(max(1, -(-total // size)))]
     n = max(1, min(len(rows), 10_000))
-    return spark.createDataFrame(rows, "path string, part int, start long, stop long, total long").repartition(n, "path", "part")
+    return spark.createDataFrame(rows, "path string, part int, start long, stop long, total long").repartition(n), n
 
 
 def _counts(dialect: Dialect):
@@ -73,9 +74,11 @@ def _counts(dialect: Dialect):
 
 
 _FIELDS = "path string, row long, col int, start long, end long, quoted boolean, value string"
+_ROWS = "path string, row long, fields array<string>"
 
 
-def _parse(path: str, start: int, stop: int, total: int, state: int, first_row: int, dialect: Dialect) -> Iterator[pa.RecordBatch]:
+def _body(path: str, start: int, stop: int, total: int, state: int, dialect: Dialect) -> tuple[bytes, int]:
+    """(the bytes of all rows that begin in the range, where in the file they begin)."""
     with _open(path) as f:
         lead, size = int(start > 0), stop - start
         while True:  # read on until a row begins at the range's end or later
@@ -91,33 +94,65 @@ def _parse(path: str, start: int, stop: int, total: int, state: int, first_row:
             size *= 2
     mine = begin[(begin >= start) & (begin < stop)]
     if not len(mine):
-        return
-    a, b = int(mine[0]) - start + lead, int(beyond[0]) - start + lead if len(beyond) else len(raw)
-    body = raw[a:b]
-    row, col, s, e, quoted = kernels.csv_fields(np.frombuffer(body, dtype=np.uint8), ord(dialect.delimiter), ord(dialect.quote))
+        return b"", start
+    return raw[int(mine[0]) - start + lead : int(beyond[0]) - start + lead if len(beyond) else len(raw)], int(mine[0])
+
+
+def _parse(path: str, start: int, stop: int, total: int, state: int, first_row: int, dialect: Dialect) -> Iterator[pa.RecordBatch]:
+    body, base = _body(path, start, stop, total, state, dialect)
+    data = np.frombuffer(body, dtype=np.uint8)
+    row, col, s, e, quoted = kernels.csv_fields(data, ord(dialect.delimiter), ord(dialect.quote))
     shift = 1 if dialect.header else 0
     for i in range(0, len(row), 1 << 16):
         c = slice(i, i + (1 << 16))
-        values = [kernels.unescape(body[x:y], q, ord(dialect.quote), dialect.compat).decode("utf-8", "replace") for x, y, q in zip(s[c].tolist(), e[c].tolist(), quoted[c].tolist(), strict=True)]
-        n = len(values)
-        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(row[c] + first_row - shift), pa.array(col[c].astype(np.int32)), pa.array(s[c] + int(mine[0])), pa.array(e[c] + int(mine[0])), pa.array(quoted[c]), pa.array(values, pa.string())], names=["path", "row", "col", "start", "end", "quoted", "value"])
-
-
-def read_fields(spark: SparkSession, paths: list[str], *, dialect: Dialect = Dialect(), range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, row, col, start, end (bytes in the file), quoted, value of every field; a header counts as row -1. An empty file has no row."""
-    counted = _ranges(spark, paths, range_bytes).mapInArrow(_counts(dialect), "path string, part int, start long, stop long, total long, quotes long, rows0 long, rows1 long")
+        values = field_texts(data, s[c], e[c], quoted[c], dialect)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(values)), pa.array(row[c] + first_row - shift), pa.array(col[c].astype(np.int32)), pa.array(s[c] + base), pa.array(e[c] + base), pa.array(quoted[c]), values], names=["path", "row", "col", "start", "end", "quoted", "value"])
+
+
+def _parse_rows(path: str, start: int, stop: int, total: int, state: int, first_row: int, dialect: Dialect) -> Iterator[pa.RecordBatch]:
+    body, _ = _body(path, start, stop, total, state, dialect)
+    data = np.frombuffer(body, dtype=np.uint8)
+    row, col, s, e, quoted = kernels.csv_fields(data, ord(dialect.delimiter), ord(dialect.quote))
+    first = np.flatnonzero(col == 0)
+    bounds = np.concatenate((first, [len(row)]))
+    for i in range(0, len(first), 1 << 13):
+        to = min(len(first), i + (1 << 13))
+        c = slice(int(bounds[i]), int(bounds[to]))
+        lists = pa.ListArray.from_arrays(pa.array((bounds[i : to + 1] - bounds[i]).astype(np.int32)), field_texts(data, s[c], e[c], quoted[c], dialect))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * (to - i)), pa.array(row[first[i:to]] + first_row - int(dialect.header)), lists], names=["path", "row", "fields"])
+
+
+def _planned(spark: SparkSession, paths: list[str], dialect: Dialect, range_bytes: int) -> tuple[DataFrame, int]:
+    """(path, start, stop, total, state, first_row of every range, the number of partitions to parse them in)."""
+    ranges, n = _ranges(spark, paths, range_bytes)
+    counted = ranges.mapInArrow(_counts(dialect), "path string, part int, start long, stop long, total long, quotes long, rows0 long, rows1 long")
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     stated = counted.withColumn("state", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int"))
     stated = stated.withColumn("rows", F.when(F.col("state") == 1, F.col("rows1")).otherwise(F.col("rows0")))
-    planned = stated.withColumn("first_row", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("path", "start", "stop", "total", "state", "first_row")
+    return stated.withColumn("first_row", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("path", "start", "stop", "total", "state", "first_row"), n
+
+
+def _read(spark: SparkSession, paths: list[str], dialect: Dialect, range_bytes: int, parse, schema: str) -> DataFrame:
+    planned, n = _planned(spark, paths, dialect, range_bytes)
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                yield from _parse(r["path"], r["start"], r["stop"], r["total"], r["state"], r["first_row"], dialect)
+                yield from parse(r["path"], r["start"], r["stop"], r["total"], r["state"], r["first_row"], dialect)
+
+    return planned.repartition(n).mapInArrow(run, schema)
+
+
+def read_fields(spark: SparkSession, paths: list[str], *, dialect: Dialect = Dialect(), range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, row, col, start, end (bytes in the file), quoted, value of every field; a header counts as row -1. An empty file has no row.
+
+    Files are dealt in ranges of range_bytes, one to a task: their number follows the input, however few the files."""
+    return _read(spark, paths, dialect, range_bytes, _parse, _FIELDS)
+
 
-    n = max(1, min(10_000, sum(1 for _ in paths)))
-    return planned.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "start").mapInArrow(run, _FIELDS)
+def read_rows(spark: SparkSession, paths: list[str], *, dialect: Dialect = Dialect(), range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, row, fields (array of values) of every row, without the header, each made where its bytes are read."""
+    return _read(spark, paths, dialect, range_bytes, _parse_rows, _ROWS).where("row >= 0")
 
 
 class _File(InputPartition):

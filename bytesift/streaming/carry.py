@@ -19,10 +19,10 @@ _STATE = "next_seq long, inside int, depth long, offset long, pending binary, ea
 _OUT = "stream_id string, pos long, lit int, name string, inside int, depth long"
 
 
-def find_in_stream(chunks: DataFrame, spec: TargetSpec, *, quote: str | None = None, opening: str | None = None, closing: str | None = None) -> DataFrame:
+def find_in_stream(chunks: DataFrame, spec: TargetSpec, *, quote: str | None = None, opening: str | None = None, closing: str | None = None, max_early: int | None = None) -> DataFrame:
     """Matches with their offset in the whole stream, the state of the quote after them, and the depth after them (outside quotes).
 
-    chunks: stream_id string, seq long (from 0), data binary; batch or streaming.
+    chunks: stream_id string, seq long (from 0), data binary. A stream of which more than max_early chunks wait for an earlier one is an error (None: they wait).
     """
     for name in (quote, opening, closing):
         if name is not None and name not in spec.literals:
@@ -66,6 +66,8 @@ def find_in_stream(chunks: DataFrame, spec: TargetSpec, *, quote: str | None = N
             if len(out):
                 out.insert(0, "stream_id", key[0])
                 yield out
+        if max_early is not None and len(early) > max_early:
+            raise ValueError(f"stream {key[0]!r}: chunk {next_seq} is missing, and {len(early)} wait for it")
         state.update((next_seq, int(carried[0]), int(carried[1]), int(carried[2]), carried[3], list(early), list(early.values())))
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -24,9 +24,9 @@ def hits(content: bytes, s: TargetSpec):
 
 
 def test_golden_line():
-    s = TargetSpec.builder().codepoints("ws", "\r\n\t\f ").codepoints("star", "*").codepoints("plus", "+").range("cmp", 0x3C, 0x3E).build()
-    got = hits(b"hello world * foo+bar <=> end\n".ljust(64, b"\0"), s)
-    assert got == [(5, "ws"), (11, "ws"), (12, "star"), (13, "ws"), (17, "plus"), (21, "ws"), (22, "cmp"), (23, "cmp"), (24, "cmp"), (25, "ws"), (29, "ws")]
+    s = TargetSpec.builder().codepoints("gap", " \t").codepoints("slash", "/").codepoints("hash", "#").range("figure", "0", "9").build()
+    got = hits(b"mi/2 #7\tto 9/a".ljust(40, b"\0"), s)
+    assert got == [(2, "slash"), (3, "figure"), (4, "gap"), (5, "hash"), (6, "figure"), (7, "gap"), (10, "gap"), (11, "figure"), (12, "slash")]
 
 
 def test_every_byte_and_code_points():
@@ -78,6 +78,53 @@ def test_csv_cases(name):
     assert got == want
 
 
+def test_fields_of_many_buffers():
+    rng = random.Random(8)
+    for _ in range(2000):
+        buffers = [bytes(rng.choice(b'ab,"\n\r') for _ in range(rng.randrange(9))) for _ in range(rng.randrange(5))]
+        ends = np.cumsum([len(b) for b in buffers]).astype(np.int64) if buffers else np.zeros(0, dtype=np.int64)
+        got = [tuple(map(int, f)) for f in zip(*kernels.csv_fields_of(np.frombuffer(b"".join(buffers), dtype=np.uint8), ends, 44, 34))]
+        want = []
+        for n, b in enumerate(buffers):  # byte by byte
+            base, row, col, start, inside = int(ends[n]) - len(b), 0, 0, 0, False
+            i = 0
+            while i < len(b):
+                if b[i] == 34:
+                    inside = not inside
+                elif not inside and b[i] in (44, 10, 13):
+                    want.append((n, row, col, base + start, base + i, int(start < i and b[start] == 34)))
+                    row, col = (row, col + 1) if b[i] == 44 else (row + 1, 0)
+                    i += b[i : i + 2] == b"\r\n"
+                    start = i + 1
+                i += 1
+            if start < len(b) or col:
+                want.append((n, row, col, base + start, base + len(b), int(start < len(b) and b[start] == 34)))
+        assert got == want
+
+
+def test_large_buffer_and_bad_bytes(spark):
+    body = b'12,"a ""b"" c",\xff\n' * 60_000
+    df = spark.createDataFrame([(1, bytes(body)), (2, b"")], "k int, c binary")
+    got = csvscan.fields(df, "c", keys=["k"]).groupBy("col", "value").count().collect()
+    assert sorted((r.col, r.value, r["count"]) for r in got) == [(0, "12", 60_000), (1, 'a "b" c', 60_000), (2, "\ufffd", 60_000)]
+    assert csvscan.rows(df, "c", keys=["k"]).count() == 60_000
+
+
+def test_filters(spark):
+    from bytesift.operators import filters
+
+    df = spark.createDataFrame([(1, 'a,"b,c",d'), (2, ",,"), (3, "none")], "k int, text string")
+    s = spec(comma=",", quote='"')
+    find = lambda f: [(r.k, r.pos) for r in scan.find(df, "text", s, keys=["k"], match_filter=f).collect()]
+    assert find(filters.QuoteFilter("quote")) == [(1, 1), (1, 2), (1, 6), (1, 7), (2, 0), (2, 1)]
+    assert find(filters.Both(filters.QuoteFilter("quote"), filters.EveryNth(2))) == [(1, 1), (1, 6), (2, 0)]
+    assert find(filters.NoFilter()) == [(r.k, r.pos) for r in scan.find(df, "text", s, keys=["k"]).collect()]
+    with pytest.raises(SpecError):
+        find(filters.QuoteFilter("other"))
+    with pytest.raises(ValueError):
+        scan.find(df.withColumnRenamed("k", "name"), "text", s, keys=["name"])
+
+
 def test_csv_edges(spark):
     df = spark.createDataFrame([(1, b""), (2, None), (3, b"a,b")], "k int, c binary")
     assert [(r.k, r.fields) for r in csvscan.rows(df, "c", keys=["k"]).collect()] == [(3, ["a", "b"])]
