@@ -15,10 +15,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import fresh, materialize, text_or_empty
 
-#: rows that one range of ids holds, or so
-RANGE_ROWS = 20_000
+#: rows that one range of ids holds, or so; and the number of ranges, which are literals of the plan, beyond which they grow instead
+RANGE_ROWS, RANGES = 20_000, 4_096
 #: bytes of keys up to which they are broadcast to the texts
 BROADCAST_BYTES = 16 << 20
 
@@ -41,7 +41,7 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * 32 <= BROADCAST_BYTES else df
 
 
-def _named(h1: str, h2: str, number: str | None = None) -> Column:
+def _named(h1: str | Column, h2: str | Column, number: str | None = None) -> Column:
     name = F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
     return name if number is None else F.when(F.col(number) > 0, F.concat(name, F.lit("-"), F.col(number).cast("string"))).otherwise(name)
 
@@ -55,7 +55,10 @@ def collisions(forms: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", *, bits: int = 64, out: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of text_col in column `out`; null counts as empty. Rows and other columns stay; a column of that name is replaced."""
+    """docs with the fingerprint of text_col in column `out`; null counts as empty, and texts without any visible sign are equal.
+
+    Rows, repeated ones and those of one id too, and other columns stay, whatever their names; a column named as out is replaced. An empty table stays empty.
+    """
     form = canonical(text_or_empty(text_col))
     h1, h2 = wide_hash(form, bits)
     hashes = docs.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
@@ -63,10 +66,12 @@ def fingerprint(docs: DataFrame, text_col: str = "text", *, bits: int = 64, out:
     met = docs.select(h1.alias("h1"), h2.alias("h2"), form.alias("form")).join(_near(shared, shared.count()), ["h1", "h2"])
     clash = materialize(collisions(met), "collisions")
     if clash.limit(1).count() == 0:
-        return docs.withColumns({"__h1": h1, "__h2": h2}).withColumn(out, _named("__h1", "__h2")).drop("__h1", "__h2")
-    c = clash.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("form").alias("__f"), F.col("number").alias("__n"))
-    marked = docs.withColumns({"__h1": h1, "__h2": h2, "__f": form}).join(c, ["__h1", "__h2", "__f"], "left")
-    return marked.withColumn(out, _named("__h1", "__h2", "__n")).select(*[F.col(f"`{x}`") for x in docs.columns if x != out], out)
+        return docs.select(*[F.col(f"`{x}`") for x in docs.columns if x != out], _named(h1, h2).alias(out))
+    row = fresh(docs, "row")
+    d, c = docs.withColumn(row, F.struct(h1.alias("h1"), h2.alias("h2"), form.alias("form"))).alias("d"), clash.alias("c")
+    r = F.col(f"d.`{row}`")
+    marked = d.join(c, (r["h1"] == F.col("c.h1")) & (r["h2"] == F.col("c.h2")) & (r["form"] == F.col("c.form")), "left")
+    return marked.select(*[F.col(f"d.`{x}`") for x in docs.columns if x != out], _named(r["h1"], r["h2"], "c.number").alias(out))
 
 
 def _keys(id_col: str, text: Column) -> dict[str, Column]:
@@ -95,7 +100,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     text = text_or_empty(text_col)
     keys = _keys(id_col, text)
     n = docs.count()
-    ranges = max(1, math.ceil(n / range_rows))
+    ranges = min(RANGES, max(1, math.ceil(n / range_rows)))
     shares = [k / ranges for k in range(1, ranges)]
     bounds = docs.select(F.percentile_approx(keys["i"], shares, 10 * ranges)).first()[0] if shares and n else []
     bounds = sorted(set(bounds or []))
@@ -119,12 +124,18 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 64) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (1.0 if the fingerprints are equal, else 0.0)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (1.0 if the fingerprints are equal, else 0.0).
+
+    Ids are integers. The next document is that of the next larger id (null ids first; rows of one id by the hash of their texts; repeated
+    rows, of one id and text, follow each other), after the last the first; a table of one row has itself as the next. A null text is empty.
+    An empty table gives no row.
+    """
     pairs = with_next(docs, id_col, text_col)
     other = edited(F.col("text"), F.col("ntext"))
     pairs = pairs.select("doc_id", "z", "i", "s", "t", "nz", "ni", "ns", "nt", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("f"), other.alias("e"))
+    pairs = pairs.withColumn("g", canonical(F.col("e")))  # worked out once: Catalyst does not repeat what reflect() gives
     h1, h2 = wide_hash(F.col("f"), bits)
-    e1, e2 = wide_hash(canonical(F.col("e")), bits)
+    e1, e2 = wide_hash(F.col("g"), bits)
     rows = pairs.select("doc_id", "z", "i", "s", "t", "nz", "ni", "ns", "nt", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"))
     rows = materialize(rows, "edit-hashes")
     clash = _clashes(docs, rows, id_col, text_col, bits)

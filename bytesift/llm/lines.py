@@ -16,7 +16,8 @@ still lie in several components are held against those outside the largest one,
 That is done in cells: a bucket is a grid of BLOCK by BLOCK lines, each cell a join of its own, so a hot bucket
 spreads over tasks, and a line moves once per cell. A pair that shares several buckets is looked at in one of them.
 
-The exact Jaccard similarity of the shingle sets decides. Of a line's pairs with one component two are verified first; of the
+The exact Jaccard similarity of the shingle sets decides. Before it, bitmaps of the shingles (by parity) rule out pairs of the
+second search that cannot be similar enough, and no others (public as the bitmap filter of set similarity joins). Of a line's pairs with one component two are verified first; of the
 others, those that then still lie in different components are verified too. Components come from distributed union-find
 (components.py); of each component the line that stands first (by id, then by the text's hash, then by place) stays.
 """
@@ -48,6 +49,10 @@ BROADCAST_LINES = 400_000
 LEAVES = 2_000
 #: lines along each side of a cell of a bucket's grid, in the mean
 BLOCK = 512
+#: pairs of a bucket across its components from which bitmaps are made before the pairs are
+MANY = 4_096
+#: 64-bit words of a line's bitmap
+WORDS = 16
 #: places, of eight bits, in one word of a sketch
 _PACKED = 7
 
@@ -133,11 +138,16 @@ def _agree(x: str = "x", y: str = "y") -> Column:
     return F.expr(f"{' + '.join(differing)} <= {PLACES - AGREE}")
 
 
-def _texts(lines: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, line: the lines of the pairs (x, y)."""
-    nodes = materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "wanted-nodes")
+def _texts(lines: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, line: the lines of the nodes."""
+    nodes = materialize(nodes.distinct(), "wanted-nodes")
     wanted = materialize(table.select("node", "a1", "a2").join(_near(nodes), "node", "left_semi"), "wanted-lines")
-    return lines.select("a1", "a2", "line").join(_near(wanted), ["a1", "a2"]).groupBy("node").agg(F.first("line").alias("line"))
+    found = lines.select("a1", "a2", "line").join(_near(wanted), ["a1", "a2"]).groupBy("node").agg(F.first("line").alias("line"))
+    return materialize(found, "candidate-lines")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node"))
 
 
 def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,36 +170,71 @@ def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.col("common") >= SIMILARITY * (F.col("n0") + F.col("n1") - F.col("common"))).select("x", "y")
 
 
-def _left_apart(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+def _bitmaps(how: Shingles, texts: DataFrame) -> DataFrame:
+    """node, n (distinct shingles), w0 ...: WORDS words, a bit being the parity of the shingles whose hash falls on it."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _blocks(how, texts.repartition(parts, "node"), "node").select("node", F.explode(F.array(*_HASHES)).alias("h"))
+    each = each.groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
+    marked = each.select("node", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"(h >> 6) & {WORDS - 1}").alias("word"))
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return marked.groupBy("node").agg(F.count("*").alias("n"), *words)
+
+
+def _able() -> Column:
+    """Whether the bitmaps of x and y allow SIMILARITY: a bit that differs stands for a shingle that they do not share, of which (1 - s) / (1 + s) of both sizes may be. No link is lost."""
+    bits = [F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(WORDS)]
+    sizes = F.col("xn") + F.col("yn")
+    return (F.col("xn") >= SIMILARITY * F.col("yn")) & (F.col("yn") >= SIMILARITY * F.col("xn")) & ((1 + SIMILARITY) * sum(bits[1:], bits[0]) <= (1 - SIMILARITY) * sizes + 1e-6)
+
+
+def _possible(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps allow SIMILARITY."""
+    maps = materialize(_bitmaps(how, texts), "line-bitmaps")
+    x, y = (_near(maps.select(*[F.col(c).alias(side if c == "node" else side + c) for c in maps.columns])) for side in ("x", "y"))
+    return pairs.join(x, "x").join(y, "y").where(_able()).select(*pairs.columns)
+
+
+def _left_apart(how: Shingles, lines: DataFrame, table: DataFrame, members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """x, y, xroot, yroot: pairs of lines of one bucket that are in different components and agree in AGREE places.
 
     All of them, from one bucket each; a bucket of two lines has no pair but the one that _buckets() gives.
-    i numbers the blocks of the lines outside the largest component (x), j those of all lines (y).
+    i numbers the blocks of the lines outside the largest component (x), j those of all lines (y). Lines of buckets with MANY pairs
+    bring their bitmaps along, so that such a bucket gives few pairs.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     by_root = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     grids = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
-    grids = grids.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("js"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("is"))
+    apart = F.col("n") - F.col("main.n")
+    grids = grids.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("js"), F.ceil(apart / BLOCK).alias("is"), (apart * F.col("n") >= MANY).alias("many"))
     mixed = materialize(named.join(grids, "key"), "mixed-buckets")
-    keys = materialize(mixed.groupBy("node").agg(F.collect_list("key").alias("keys")), "bucket-keys")  # at most one per band
-    known = mixed.join(sketches.withColumnRenamed("s", "node").join(_near(keys), "node"), "node")
+    keys = materialize(mixed.groupBy("node").agg(F.collect_list("key").alias("keys"), F.max("many").alias("many")), "bucket-keys")  # at most one per band
+    own = sketches.withColumnRenamed("s", "node").join(_near(keys.select("node", "keys")), "node")
+    words = [c for c in sketches.columns if c != "s"]
+    crowded = keys.where("many").select("node")
+    hot = crowded.limit(1).count() > 0
+    if hot:
+        maps = materialize(_bitmaps(how, _texts(lines, table, crowded)), "line-bitmaps")
+        own = own.join(_near(maps), "node", "left")
+        words += [c for c in maps.columns if c != "node"]
+    known = mixed.drop("many").join(own, "node")
     place = F.xxhash64(F.lit("block"), "node")
 
     def upto(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        words = [F.col(f"s{w}").alias(f"{name}{w}") for w in range(-(-PLACES // _PACKED))]
-        return df.select(*[F.col(c).alias(name if c == "node" else f"{name}{c}") for c in ("key", "i", "j", "node", "root", "main", "keys")], *words)
+        sketch = [F.col(w).alias(name + (w[1:] if w[0] == "s" else w)) for w in words]
+        return df.select(*[F.col(c).alias(name if c == "node" else f"{name}{c}") for c in ("key", "i", "j", "node", "root", "main", "keys")], *sketch)
 
     outside = known.where("root <> main").withColumn("i", F.pmod(place, "is")).withColumn("j", upto("js"))
     every = known.withColumn("j", F.pmod(place, "js")).withColumn("i", upto("is"))
     x = side(outside, "x").repartition(parts, "xkey", "xi", "xj")
     y = side(every, "y").repartition(parts, "ykey", "yi", "yj")
     cell = (F.col("xkey") == F.col("ykey")) & (F.col("xi") == F.col("yi")) & (F.col("xj") == F.col("yj"))
+    able = F.col("xn").isNull() | F.col("yn").isNull() | _able() if hot else F.lit(True)
     once = ((F.col("yroot") == F.col("ymain")) | (F.col("x") < F.col("y"))) & (F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("xkey"))
-    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _agree() & once).select("x", "y", "xroot", "yroot")
+    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _agree() & once & able).select("x", "y", "xroot", "yroot")
 
 
 def near_sets(how: Shingles, lines: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -212,14 +257,15 @@ def near_sets(how: Shingles, lines: DataFrame, more: DataFrame | None = None) ->
             more = more.join(names.select(F.col("node").alias(side), F.col("a1").alias(f"{side}1"), F.col("a2").alias(f"{side}2")), [f"{side}1", f"{side}2"])
         stars = stars.unionByName(more.select("x", "y")).distinct()
     stars = materialize(stars, "line-pairs")
-    texts = materialize(_texts(lines, table, stars), "candidate-lines")
+    texts = _texts(lines, table, _ends(stars))
     links = materialize(verified(how, stars, texts), "line-links")
     roots = materialize(connected_components(links, "x", "y"), "line-roots")
     clean_shuffles(spark)
-    apart = materialize(_left_apart(members, roots, sketches), "line-pairs")
+    apart = materialize(_left_apart(how, lines, table, members, roots, sketches), "line-pairs")
     clean_shuffles(spark)
     if apart.limit(1).count():
-        texts = materialize(_texts(lines, table, apart), "candidate-lines")
+        texts = _texts(lines, table, _ends(apart))
+        apart = materialize(_possible(how, apart, texts), "line-pairs")
         early = apart.groupBy("x", "yroot").agg(F.min("y").alias("y"), F.max("y").alias("z"))
         early = materialize(early.select("x", "y").unionByName(early.where("y <> z").select("x", F.col("z").alias("y"))), "line-pairs")
         found = materialize(verified(how, early, texts), "line-links")

@@ -7,15 +7,18 @@ phrase does not count. The sum of the weights and that sum per hundred words (no
 logistic curve that is fitted on the same labelled texts.
 
 The classifier (terms, weights, exceptions, curve) is fitted on at most FIT_ROWS labelled texts, taken by a
-hash of their ids; scoring covers all rows and whole texts.
+hash of their ids, and holds every term and phrase of theirs that the evidence bears out: the sample alone bounds it. Scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,6 @@ from .common import materialize, text_or_empty
 
 #: labelled rows that the classifier is fitted on, at most
 FIT_ROWS = 24_000
-#: terms that the lexicon holds, at most: those of the highest weight of evidence
-MAX_TERMS = 4_000
 BEGINNINGS = (4, 5, 6, 7)
 #: least evidence for a term (log-likelihood ratio) and least share of toxic texts among those that hold it
 EVIDENCE, SHARE = 14.0, 0.6
@@ -56,7 +57,7 @@ class _Fold(dict):
         if unicodedata.category(char) in ("Cf", "Mn", "Me"):
             out = ""
         else:
-            out = "".join(HOMOGLYPHS.get(c, c) if c.isalnum() else " " for x in unicodedata.normalize("NFKD", char).lower() for c in unicodedata.normalize("NFKD", HOMOGLYPHS.get(x, x)) if not unicodedata.combining(c))
+            out = "".join(HOMOGLYPHS.get(c, c) if c.isalnum() else " " for x in unicodedata.normalize("NFKD", char).lower() for c in unicodedata.normalize("NFKD", x if x in _SIGNS else HOMOGLYPHS.get(x, x)) if not unicodedata.combining(c))
         self[code] = out
         return out
 
@@ -70,8 +71,6 @@ def fold(text: str | None) -> str:
     text = text or ""
     for sign in _SIGNS:
         if sign in text:
-            import re
-
             text = re.sub(rf"(?<=[^\W_]){re.escape(sign)}(?=[^\W_])", HOMOGLYPHS[sign], text)
     text = text.encode().translate(_ASCII).decode() if text.isascii() else text.translate(_FOLD)
     words = text.split()
@@ -124,7 +123,12 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or weight > best[start][2]:
                 best[start] = (start, end, weight)
-        return [h for h in best.values() if not any(s <= h[0] and h[1] <= e for s, e in spared)]
+        if not spared:
+            return list(best.values())
+        spared.sort()
+        starts = [s for s, _ in spared]
+        reach = list(accumulate((e for _, e in spared), max))  # the farthest end of all spans up to one
+        return [h for h in best.values() if not ((n := bisect_right(starts, h[0])) and reach[n - 1] >= h[1])]
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -160,7 +164,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, fl
     return float(w[0]), float(max(w[1], 0)), float(max(w[2], 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from the labelled rows whose crc32(id as text) mod 5 is not 0, at most fit_rows of them.
 
     Rows without a label, an id or a text are not used; of texts that fold to the same words one is, the smallest (copies would pass for evidence).
@@ -199,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     found = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = found.where((F.col("toxic") >= 3) & (F.col("toxic") >= SHARE * (F.col("toxic") + F.col("clean"))))
-    found = found.orderBy(F.desc("toxic"), "term").limit(16 * max_terms).toPandas()
+    found = found.toPandas()  # terms of fit_rows texts
     found["evidence"] = _evidence(found.toxic.to_numpy(float), found.clean.to_numpy(float), n_toxic, n_clean) if len(found) else []
     found = found[found.evidence >= EVIDENCE].sort_values(["evidence", "term"], ascending=[False, True]) if len(found) else found
     odds = n_toxic / n_clean
@@ -209,8 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         # a beginning as good as a longer one stands for it
         if any(row.term[:n] in weights and toxic_of[row.term[:n]] >= row.toxic for n in range(4, len(row.term.rstrip()))):
             continue
-        if len(weights) < max_terms:
-            weights[row.term] = float(np.log((row.toxic + 0.5) / (row.clean + 0.5) / odds))
+        weights[row.term] = float(np.log((row.toxic + 0.5) / (row.clean + 0.5) / odds))
     top = max(weights.values(), default=1.0)
     weights = {t: w / top for t, w in weights.items() if w > 0}
     lexicon = Lexicon(seeds | weights, exceptions)
@@ -246,8 +249,7 @@ def _clean_phrases(sample: DataFrame, lexicon: Lexicon) -> list[str]:
             yield pa.RecordBatch.from_pydict({"phrase": [p for p, _ in rows], "y": [y for _, y in rows]}, pa.schema([("phrase", pa.string()), ("y", pa.int64())]))
 
     found = sample.mapInArrow(phrases, "phrase string, y long").groupBy("phrase").agg(F.sum(1 - F.col("y")).alias("clean"), F.count("*").alias("n"))
-    found = found.where("clean >= 4 and clean >= 0.9 * n").orderBy(F.desc("clean"), "phrase").limit(1000)
-    return [r.phrase for r in found.collect()]
+    return [r.phrase for r in found.where("clean >= 4 and clean >= 0.9 * n").collect()]  # phrases of fit_rows texts
 
 
 def held_out(id_col: str = "doc_id"):
@@ -257,7 +259,7 @@ def held_out(id_col: str = "doc_id"):
 
 def score_column(docs: DataFrame, lexicon: Lexicon, text_col: str = "text"):
     """The score as a column; a null text counts as empty, and an empty text has the curve's lowest score."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of FIT_ROWS texts at most
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:

@@ -62,10 +62,10 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + _END + block
 
 
-def page_records(page_id, url: str | None, payload: bytes, refers_to, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: one, or one and its continuations."""
+def page_records(page_id, url: str | None, payload: bytes, refers_to, segment_bytes: int = SEGMENT_BYTES, number: int = 0) -> list[bytes]:
+    """The records of one page: one, or one and its continuations. A page without an id is named by number."""
     digest = hashlib.sha256(payload).hexdigest()
-    name = f"<urn:page:{'none' if page_id is None else page_id}:{digest[:16]}>"
+    name = f"<urn:page:none-{number}:{digest[:16]}>" if page_id is None else f"<urn:page:{page_id}:{digest[:16]}>"
     common = [("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if url is not None:
         common.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
@@ -91,7 +91,8 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     """Writes one WARC record (with its continuations) per row of pages to files in path.
 
     A null payload is empty. A row with a null id is always a response. Rows that share id and payload are records of
-    one name, each as often as it is in pages; the smallest id's rows are all responses.
+    one name, each as often as it is in pages (the table has no other means to tell them apart); rows without an id have names of their own; the smallest id's rows are all responses.
+    Other columns of pages are not looked at; an empty table makes archives without a page.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(text_or_empty(payload_col), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -105,10 +106,10 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         schema = pa.schema([("value", pa.binary())])
         yield pa.RecordBatch.from_pydict({"value": [info]}, schema)
         for batch in in_slices(batches, 256):
-            for page_id, url, payload, leader in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pydict({"value": page_records(page_id, url, payload, leader, segment_bytes)}, schema)
+            for page_id, url, payload, leader, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_pydict({"value": page_records(page_id, url, payload, leader, segment_bytes, number)}, schema)
 
-    records = marked.select("page_id", "url", "payload", refers.alias("leader")).mapInArrow(write, "value binary")
+    records = marked.select("page_id", "url", "payload", refers.alias("leader"), F.monotonically_increasing_id().alias("number")).mapInArrow(write, "value binary")
     records.select(F.col("value").cast("string")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
