@@ -198,8 +198,8 @@ def _left_apart(how: Shingles, lines: DataFrame, table: DataFrame, members: Data
     """x, y, xroot, yroot: pairs of lines of one bucket that are in different components and agree in AGREE places.
 
     All of them, from one bucket each; a bucket of two lines has no pair but the one that _buckets() gives.
-    i numbers the blocks of the lines outside the largest component (x), j those of all lines (y). Lines of buckets with MANY pairs
-    bring their bitmaps along, so that such a bucket gives few pairs.
+    i numbers the blocks of the lines outside the largest component (x), j those of all lines (y). Buckets with MANY pairs
+    are looked at by bitmaps instead of sketches, so that they give few pairs.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -209,32 +209,35 @@ def _left_apart(how: Shingles, lines: DataFrame, table: DataFrame, members: Data
     grids = grids.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("js"), F.ceil(apart / BLOCK).alias("is"), (apart * F.col("n") >= MANY).alias("many"))
     mixed = materialize(named.join(grids, "key"), "mixed-buckets")
     keys = materialize(mixed.groupBy("node").agg(F.collect_list("key").alias("keys"), F.max("many").alias("many")), "bucket-keys")  # at most one per band
-    own = sketches.withColumnRenamed("s", "node").join(_near(keys.select("node", "keys")), "node")
-    words = [c for c in sketches.columns if c != "s"]
+    near_keys = _near(keys.select("node", "keys"))
+    own = sketches.withColumnRenamed("s", "node").join(near_keys, "node")
+    found = _cells(mixed.where("not many").join(own, "node"), [c for c in sketches.columns if c != "s"], _agree(), parts)
     crowded = keys.where("many").select("node")
-    hot = crowded.limit(1).count() > 0
-    if hot:
-        maps = materialize(_bitmaps(how, _texts(lines, table, crowded)), "line-bitmaps")
-        own = own.join(_near(maps), "node", "left")
-        words += [c for c in maps.columns if c != "node"]
-    known = mixed.drop("many").join(own, "node")
+    if crowded.limit(1).count() == 0:
+        return found
+    maps = materialize(_bitmaps(how, _texts(lines, table, crowded)), "line-bitmaps")
+    own = _near(maps).join(near_keys, "node")
+    return found.unionByName(_cells(mixed.where("many").join(own, "node"), [c for c in maps.columns if c != "node"], _able(), parts))
+
+
+def _cells(known: DataFrame, words: list[str], near: Column, parts: int) -> DataFrame:
+    """The pairs of the mixed buckets in known that meet the condition near, of which words are the columns of either line."""
     place = F.xxhash64(F.lit("block"), "node")
 
     def upto(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        sketch = [F.col(w).alias(name + (w[1:] if w[0] == "s" else w)) for w in words]
-        return df.select(*[F.col(c).alias(name if c == "node" else f"{name}{c}") for c in ("key", "i", "j", "node", "root", "main", "keys")], *sketch)
+        own = [F.col(w).alias(name + (w[1:] if w[0] == "s" else w)) for w in words]
+        return df.select(*[F.col(c).alias(name if c == "node" else f"{name}{c}") for c in ("key", "i", "j", "node", "root", "main", "keys")], *own)
 
     outside = known.where("root <> main").withColumn("i", F.pmod(place, "is")).withColumn("j", upto("js"))
     every = known.withColumn("j", F.pmod(place, "js")).withColumn("i", upto("is"))
     x = side(outside, "x").repartition(parts, "xkey", "xi", "xj")
     y = side(every, "y").repartition(parts, "ykey", "yi", "yj")
     cell = (F.col("xkey") == F.col("ykey")) & (F.col("xi") == F.col("yi")) & (F.col("xj") == F.col("yj"))
-    able = F.col("xn").isNull() | F.col("yn").isNull() | _able() if hot else F.lit(True)
     once = ((F.col("yroot") == F.col("ymain")) | (F.col("x") < F.col("y"))) & (F.array_min(F.array_intersect("xkeys", "ykeys")) == F.col("xkey"))
-    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & _agree() & once & able).select("x", "y", "xroot", "yroot")
+    return x.join(y.hint("merge"), cell & (F.col("xroot") != F.col("yroot")) & near & once).select("x", "y", "xroot", "yroot")
 
 
 def near_sets(how: Shingles, lines: DataFrame, more: DataFrame | None = None) -> DataFrame:
