@@ -30,7 +30,7 @@ from .common import in_slices, text_or_empty
 from .encode import encoder
 
 ROLL = 16
-MIN_IDS, MEAN_IDS, MAX_IDS = 192, 768, 4096
+MIN_IDS, MEAN_IDS, MAX_IDS = 96, 384, 4096
 SHARD_DOCUMENTS = 65_536
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -122,6 +122,7 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, *, end_id: int
     """Encodes every text, appends end_id, and writes the store to path, a folder that all machines see.
 
     A null text is empty: the end id alone. Repeated ids are documents of their own, in any order among themselves; null ids come first.
+    Ids are integers. Other columns of docs are not looked at; an empty table makes a store without documents.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -189,3 +189,34 @@ def test_store_tells_what_is_wrong(spark, docs_of, tmp_path):
         with pytest.raises(Exception):
             read_summary(spark, changed(name, part, change)).collect()
     assert zlib.crc32(b"") == 0
+
+
+def test_pipeline_odd_rows(spark, docs_of, tmp_path):
+    import corpus_pipeline as c
+
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(14))
+    passage = line()
+    rows = [(i, "\n".join(line() for _ in range(3))) for i in range(6)]
+    long = "\n".join(line() for _ in range(150)) + "\n" + passage  # less than a twentieth of it
+    rows += [(None, line()), (None, line()), (None, None), (7, None), (7, ""), (2, "another text of the same id, " + line()), rows[3], rows[3], (8, long)]
+    docs = clashing(docs_of(rows))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, left = docs, []
+    for name, stage in c.STAGES[:-1]:
+        kept = c.materialize(stage(spark, kept, str(tmp_path)), name)
+        unharmed(kept, docs)
+        left.append(sorted(((r.doc_id, r.text) for r in kept.collect()), key=str))
+    want = sorted(((i, t) for i, t in rows), key=str)
+    assert left[0] == left[1] == want
+    blank = [r for r in left[2] if not (r[1] or "").strip()]
+    assert len(blank) == 1 and sorted({r for r in want if r[1]}, key=str) == sorted((r for r in left[2] if r[1]), key=str)
+    assert left[3] == [r for r in left[2] if r[0] != 8]
+    packed = c.packing(spark, kept, str(tmp_path))
+    assert packed.agg(F.count_distinct(F.struct("doc_id", "ids_crc32"))).first()[0] == len(left[3])
+    empty = docs.limit(0)
+    for name, stage in c.STAGES:
+        empty = c.materialize(stage(spark, empty, str(tmp_path)), name)
+        assert empty.count() == 0
