@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the first four t
 documents, the last the packed pieces. run() writes each stage's result as Parquet and reads it again as the next one's docs.
 
 A stage's defined results for odd rows: documents with a null or empty text pass the first two stages as they are; of all
-such texts, which have the same (no) words, the third keeps one; no stage fails on null ids, repeated rows,
-empty tables or further columns. A document without a token but the end id is one packed piece.
+such texts, which have the same (no) words, the third keeps one. A row is known by its id, null or not, and its text: rows that share an
+id keep what is their own. Repeated rows, of one id and text, lose the same lines; the third stage keeps one of them. Empty tables stay
+empty, and further columns of any name are kept up to packing. A document without a token but the end id is one packed piece.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by an exact Jaccard similarity of 0.8 or more (shingles of five words) the one with the smallest id stays."""
+    """Of documents linked by an exact Jaccard similarity of 0.8 or more (shingles of five words) the one with the smallest id stays.
+
+    Candidates are SimHash fingerprints that Golay keys bring together, and MinHash bands for what is beyond their reach."""
     return drop_near_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words lie in benchmark windows go."""
+    """Documents that hold 13 consecutive words of a benchmark item go, however long they are, and those of which a twentieth of the words lie in shorter items."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
