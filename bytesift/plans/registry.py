@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sql_api, stats
+from ..functions import generate, sql_api, stats
 from ..functions.spec import SpecError, TargetSpec
 from ..operators import csvscan, filters, prefix, scan
 from ..operators.csvscan import Dialect
@@ -101,6 +101,8 @@ _add(
     lambda spark, d: scan.histogram(scan.find(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"])),
     f"WITH {_M} SELECT name, count(*) AS n_matches FROM m GROUP BY name",
 )
+_add("match_totals", lambda spark, d: scan.totals(_table(spark, d, "documents"), "text", PUNCTUATION), _SQL["match_histogram"])
+_add("match_totals_wide", lambda spark, d: scan.totals(_table(spark, d, "documents"), "text", SHARED), f"WITH {oracle.matches('documents', 'doc_id', 'text', SHARED)} SELECT name, count(*) AS n_matches FROM m GROUP BY name")
 _add(
     "first_last_match",
     lambda spark, d: scan.find(_table(spark, d, "documents"), "text", PUNCTUATION, keys=["doc_id"]).groupBy("doc_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min_by("name", "pos").alias("first_name")),
@@ -495,6 +497,25 @@ _add(
 )
 
 
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """For some densities: the bytes made, and whether the share of targets is within a hundredth."""
+    out = None
+    for density in (0.05, 0.5):
+        made = generate.byte_buffers(spark, 32, 1 << 14, b",.", density)
+        found = scan.totals(made, "content", _spec(("codepoints", "sign", ",."))).agg(F.sum("n_matches").alias("n"))
+        one = made.agg(F.sum(F.octet_length("content")).alias("n_bytes")).join(found).select(F.lit(density).alias("density"), "n_bytes", (F.abs(F.col("n") / F.col("n_bytes") - density) < 0.01).alias("near"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_add("generated_density", _generated, " UNION ALL ".join(f"SELECT CAST({x} AS DOUBLE) AS density, CAST({32 << 14} AS BIGINT) AS n_bytes, true AS near" for x in (0.05, 0.5)))
+_add(
+    "generated_csv",
+    lambda spark, d: csvscan.rows(generate.csv_buffers(spark, 8, 500, 7, quoted=0.4, crlf=True), "content", keys=["id"]).groupBy("id").agg(F.count("*").alias("n_rows"), F.min(F.size("fields")).alias("least"), F.max(F.size("fields")).alias("most")),
+    "SELECT i AS id, CAST(500 AS BIGINT) AS n_rows, 7 AS least, 7 AS most FROM range(8) AS r(i)",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
