@@ -44,3 +44,27 @@ def test_more_words_than_are_broadcast(spark, monkeypatch):
     v, b, a = len(set(block) | set(allow)) + 1, sum(block.values()), sum(allow.values())
     want = math.log(2 / 42) + sum(math.log((block.get(t, 0) + 1) / (b + v)) - math.log((allow.get(t, 0) + 1) / (a + v)) for t in ("plain", ".net", "/odd"))
     assert abs(few[51][4] - want) < 1e-6
+
+
+def test_split_is_the_best_of_all_splits():
+    from bytesift.llm.urls import LONGEST, Words
+
+    rng = random.Random(11)
+    words = Words({w: n for w, n in (("a", 3), ("ab", 9), ("b", 2), ("ba", 30), ("bab", 4), ("aba", 1), ("c", 7))})
+
+    def cost(parts):
+        return sum(words.cost.get(p, words.unknown + 2.5 * len(p)) for p in parts)
+
+    def splits(run):
+        if not run:
+            yield ()
+        for n in range(1, min(len(run), LONGEST) + 1):
+            for rest in splits(run[n:]):
+                yield (run[:n], *rest)
+
+    for _ in range(200):
+        run = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 10)))
+        got = words._split(run)
+        assert "".join(got) == run and abs(cost(got) - min(map(cost, splits(run)))) < 1e-9
+    assert "".join(words._split("ab" * 3000)) == "ab" * 3000  # a very long name
+    assert words._split("") == ()
