@@ -313,7 +313,7 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int
 def _cut_column(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
     for text, r in zip(texts, runs, strict=True):
-        kept, spans = cut(bytes(text), [(x["lo"], x["hi"]) for one in r for x in one])
+        kept, spans = cut(bytes(text), [(x["lo"], x["hi"]) for x in r])
         out.append((len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
@@ -352,8 +352,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keys = [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
     texts, runs = covered_runs(docs, id_col, text_col, crowd=crowd)
     copied = materialize(texts.where("copies > 1").select(*_T, "copies"), "copied")
-    own = materialize(runs.groupBy(*_T).agg(F.collect_list("runs").alias("runs")), "runs")  # at most one text's
-    size = own.agg(F.sum(24 * F.size(F.flatten("runs")) + 64)).first()[0] or 0
+    own = materialize(runs.groupBy(*_T).agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")  # at most one text's
+    size = own.agg(F.sum(24 * F.size("runs") + 64)).first()[0] or 0
     bodies = docs.select(*keys, F.encode(t, "UTF-8").alias("text")).join(_near(own, size), _T)
     made = materialize(bodies.select(*_T, _cut_column("text", "runs").alias("c")).select(*_T, "c.*"), "cut")
     rows = docs.select(F.col(id_col).alias("id"), *keys, F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(F.encode(t, "UTF-8"), 256).alias("whole"))
