@@ -39,3 +39,31 @@ def test_store_holds_the_librarys_ids(spark, docs_of):
         want[i] = (start, ids)
         start += len(ids)
     assert {r.doc_id: (r.start, np.frombuffer(r.ids, "<u2").tolist()) for r in read_ids(spark, path).collect()} == want
+
+
+def test_words_go_to_the_model_alone():
+    """Words, with punctuation or without, need no second normalizing and cutting; equal ones are looked up once."""
+    from bytesift.llm.encode import Encoder, vocabulary
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    rng = random.Random(6)
+    letters = "abcxyzéßжяά"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(300)]
+    around = [("", ""), ("(", ")"), ('"', '."'), ("", "'"), ("", "!?"), ("-", ",")]
+    texts = [" ".join(rng.choice("  \n").join([a + w + b, w.upper()]) for w in words for a, b in [rng.choice(around)]) for _ in range(20)]
+    sent = []
+
+    class Counting(Encoder):
+        def _library(self, texts):
+            sent.extend(texts)
+            return super()._library(texts)
+
+    enc = Counting(path)
+    sent.clear()
+    got = enc.encode(texts)
+    assert sent == []
+    fresh = Tokenizer.from_file(path)
+    contractions = ["it's 'tis 'they (they'll) don't", "x'S 's '", "   ", "12ab a1 ²x"]
+    for text, ids in zip(texts + contractions, [*got, *enc.encode(contractions)], strict=True):
+        assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids, text
