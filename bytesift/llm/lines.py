@@ -25,6 +25,7 @@ others, those that then still lie in different components are verified too. Comp
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ SIMILARITY = 0.8
 AGREE = 20
 #: shingles of one row of the aggregation
 BLOCK_SHINGLES = 16
+#: bands whose rows are on disk at a time
+BANDS_AT_ONCE = 10
 #: line ids up to which their table is broadcast to the texts (24 bytes each)
 BROADCAST_LINES = 400_000
 #: pairs of one line that one task verifies
@@ -94,24 +97,42 @@ _HASHES = [f"h{b}" for b in range(BLOCK_SHINGLES)]
 
 
 def signatures(how: Shingles, lines: DataFrame) -> DataFrame:
-    """node (a number), a1, a2, m0 ...: the signature of every distinct line. lines: a1, a2, line."""
+    """node (a number), a1, a2, s0 ...: the signature of every distinct line. lines: a1, a2, line.
+
+    s0 ... hold the low eight bits of each place, _PACKED to a word: an eighth of the places' size. Places that agree agree in them;
+    of unequal ones 2**-8 do by chance, of the bands of unlike lines 2**-40. That makes candidates, and loses none.
+    """
     places = [F.min(F.least(*[F.col(h).bitwiseXOR(F.lit(s)) for h in _HASHES])).alias(f"m{j}") for j, s in enumerate(_SALTS)]
-    return _blocks(how, lines, "a1", "a2").groupBy("a1", "a2").agg(*places).withColumn("node", F.monotonically_increasing_id())
+    whole = _blocks(how, lines, "a1", "a2").groupBy("a1", "a2").agg(*places)
+    words = []
+    for w, at in enumerate(range(0, PLACES, _PACKED)):
+        parts = [f"shiftleft(m{m} & 255L, {8 * (m - at)})" for m in range(at, min(PLACES, at + _PACKED))]
+        words.append(F.expr(" | ".join(parts)).alias(f"s{w}"))
+    return whole.select(F.monotonically_increasing_id().alias("node"), "a1", "a2", *words)
 
 
-def _bands() -> Column:
-    return F.array(*[F.xxhash64(F.lit(j), *[f"m{m}" for m in band]) for j, band in enumerate(BANDS)])
+def _band(j: int) -> Column:
+    """The key of band j: its places in the words that hold them."""
+    return F.xxhash64(F.lit(j), *[F.col(f"s{m // _PACKED}").bitwiseAND(F.lit(255 << 8 * (m % _PACKED))) for m in BANDS[j]])
 
 
 def _buckets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(firsts, members). firsts: x, y: of every bucket of two lines its lines, of a larger one its smallest and largest line.
-    members: key, node, first of all lines of larger buckets."""
-    keyed = table.select("node", F.explode(_bands()).alias("key"))
-    met = materialize(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    clean_shuffles(table.sparkSession)
-    large = met.where("n > 2").select("key", F.col("x").alias("first"))
-    members = keyed.join(_near(large), "key").select("key", "node", "first")
-    return met.select("x", "y"), materialize(members, "large-buckets")
+    members: key, node, first of all lines of larger buckets.
+
+    BANDS_AT_ONCE bands are dealt out at a time, which bounds the disk that their rows take; no band is left out.
+    """
+    firsts, members = [], []
+    for at in range(0, len(BANDS), BANDS_AT_ONCE):
+        keyed = table.select("node", F.explode(F.array(*[_band(j) for j in range(at, min(len(BANDS), at + BANDS_AT_ONCE))])).alias("key"))
+        met = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n")).where("n > 1")
+        met = materialize(met, "buckets")
+        clean_shuffles(table.sparkSession)
+        large = met.where("n > 2").select("key", F.col("x").alias("first"))
+        firsts.append(met.select("x", "y"))
+        members.append(materialize(keyed.join(_near(large), "key").select("key", "node", "first"), "large-buckets"))
+        clean_shuffles(table.sparkSession)
+    return reduce(DataFrame.unionByName, firsts), reduce(DataFrame.unionByName, members)
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -119,15 +140,6 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
 
 
-def _sketches(table: DataFrame) -> DataFrame:
-    """s (the node), s0 ...: its places by their low eight bits, _PACKED to a word."""
-    words = []
-    for w, at in enumerate(range(0, PLACES, _PACKED)):
-        parts = [f"shiftleft(m{m} & 255L, {8 * (m - at)})" for m in range(at, min(PLACES, at + _PACKED))]
-        words.append(F.expr(" | ".join(parts)).alias(f"s{w}"))
-    return table.select(F.col("node").alias("s"), *words)
-
-
 def _agree(x: str = "x", y: str = "y") -> Column:
     """Whether AGREE places of two sketches agree: bytes that are equal leave a zero byte behind, which keeps its high bit clear."""
     differing = []
@@ -138,6 +150,16 @@ def _agree(x: str = "x", y: str = "y") -> Column:
     return F.expr(f"{' + '.join(differing)} <= {PLACES - AGREE}")
 
 
+def _stars(firsts: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """x, y: every bucket's lines, each with the bucket's first, where AGREE places agree."""
+    pairs = firsts.unionByName(members.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")))
+    pairs = materialize(pairs.distinct(), "first-pairs")
+    sides = []
+    for side in ("x", "y"):  # a small table of pairs goes to the sketches, so that only theirs are moved
+        sides.append(sketches.select(*[F.col(c).alias(side + c[1:]) for c in sketches.columns]).join(_near(pairs), side))
+    return sides[0].join(sides[1], ["x", "y"]).where(_agree()).select("x", "y")
+
+
 def _texts(lines: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, line: the lines of the nodes."""
     nodes = materialize(nodes.distinct(), "wanted-nodes")
@@ -250,10 +272,8 @@ def near_sets(how: Shingles, lines: DataFrame, more: DataFrame | None = None) ->
     table = materialize(signatures(how, lines), "signatures")
     clean_shuffles(spark)
     firsts, members = _buckets(table)
-    sketches = materialize(_sketches(table), "sketches")
-    stars = firsts.unionByName(members.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))).distinct()
-    x, y = (sketches.select(*[F.col(c).alias(side + c[1:]) for c in sketches.columns]) for side in ("x", "y"))
-    stars = stars.join(x, "x").join(y, "y").where(_agree()).select("x", "y")
+    sketches = table.select(F.col("node").alias("s"), *[c for c in table.columns if c[0] == "s"])
+    stars = _stars(firsts, members, sketches)
     if more is not None:
         names = table.select("node", "a1", "a2")
         for side in ("x", "y"):
