@@ -76,6 +76,8 @@ class Shingles(NamedTuple):
     data: Callable[[], Column]
     count: Callable[[], Column]
     hash: Callable[[Column], Column]
+    #: hashes of one array where sets are made: 64 of a line's make a method that HotSpot leaves to its interpreter (over 8,000 bytes)
+    array: int = BLOCK_SHINGLES
 
 
 # UTF-32: four bytes a code point
@@ -83,14 +85,32 @@ OF_LINES = Shingles(
     lambda: F.encode("line", "UTF-32"),
     lambda: (F.octet_length("data") / 4).cast("int") - (SHINGLE - 1),
     lambda i: F.xxhash64(F.substring(F.col("data"), 4 * i - 3, F.lit(4 * SHINGLE))),
+    32,
 )
 
 
-def _blocks(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
-    """keep, and h0 ...: the hashes of the shingles of column line, BLOCK_SHINGLES a row; the last one fills the last row."""
+def _hashed(how: Shingles, lines: DataFrame, size: int, *keep: str) -> tuple[DataFrame, list[Column]]:
+    """A row for every so many shingles of column line, with keep, and the hashes of its shingles; the last one fills the last row."""
     data = lines.select(*keep, how.data().alias("data")).select(*keep, "data", F.greatest(how.count(), F.lit(1)).alias("n"))
-    blocks = data.select(*keep, "data", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(BLOCK_SHINGLES))).alias("i"))
-    return blocks.select(*keep, *[how.hash(F.least(F.col("i") + b, F.col("n"))).alias(f"h{b}") for b in range(BLOCK_SHINGLES)])
+    blocks = data.select(*keep, "data", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(size))).alias("i"))
+    return blocks, [how.hash(F.least(F.col("i") + b, F.col("n"))) for b in range(size)]
+
+
+def _blocks(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, and h0 ...: the hashes of the shingles of column line, BLOCK_SHINGLES a row."""
+    blocks, hashes = _hashed(how, lines, BLOCK_SHINGLES, *keep)
+    return blocks.select(*keep, *[h.alias(name) for h, name in zip(hashes, _HASHES, strict=True)])
+
+
+def _arrays(how: Shingles, lines: DataFrame, *keep: str) -> DataFrame:
+    """keep, and hs: the hashes as arrays. They are made before they are gathered, since an aggregation of objects interprets its expressions."""
+    blocks, hashes = _hashed(how, lines, how.array, *keep)
+    return blocks.select(*keep, F.array(*hashes).alias("hs"))
+
+
+def _set(hs: Column) -> Column:
+    """The distinct hashes of gathered arrays."""
+    return F.array_distinct(F.flatten(F.collect_list(hs)))
 
 
 _HASHES = [f"h{b}" for b in range(BLOCK_SHINGLES)]
@@ -185,9 +205,8 @@ def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     x = x.join(texts.select(F.col("node").alias("x"), F.col("line").alias("lx")), "x")
     both = y.repartition(parts, "x", "salt").join(x.repartition(parts, "x", "salt"), ["x", "salt"])
     sides = both.select("x", "salt", "y", F.posexplode(F.array("lx", "ly")).alias("side", "line"))
-    hashes = F.array(*_HASHES)
-    sets = [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == k, hashes)))).alias(f"s{k}") for k in (0, 1)]  # two lines' hashes
-    both = _blocks(how, sides, "x", "salt", "y", "side").groupBy("x", "salt", "y").agg(*sets)
+    sets = [_set(F.when(F.col("side") == k, F.col("hs"))).alias(f"s{k}") for k in (0, 1)]  # two lines' hashes
+    both = _arrays(how, sides, "x", "salt", "y", "side").groupBy("x", "salt", "y").agg(*sets)
     both = both.select("x", "y", F.size("s0").alias("n0"), F.size("s1").alias("n1"), F.size(F.array_intersect("s0", "s1")).alias("common"))
     return both.where(F.col("common") >= SIMILARITY * (F.col("n0") + F.col("n1") - F.col("common"))).select("x", "y")
 
@@ -195,8 +214,8 @@ def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _bitmaps(how: Shingles, texts: DataFrame) -> DataFrame:
     """node, n (distinct shingles), w0 ...: WORDS words, a bit being the parity of the shingles whose hash falls on it."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = _blocks(how, texts.repartition(parts, "node"), "node").select("node", F.explode(F.array(*_HASHES)).alias("h"))
-    each = each.groupBy("node", "h").agg(F.lit(1).alias("one"))  # where the line is
+    sets = _arrays(how, texts.repartition(parts, "node"), "node").groupBy("node").agg(_set(F.col("hs")).alias("hs"))  # one line's hashes, where the line is
+    each = sets.select("node", F.explode("hs").alias("h"))
     marked = each.select("node", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"(h >> 6) & {WORDS - 1}").alias("word"))
     words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
     return marked.groupBy("node").agg(F.count("*").alias("n"), *words)
