@@ -207,8 +207,9 @@ def verified(how: Shingles, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sides = both.select("x", "salt", "y", F.posexplode(F.array("lx", "ly")).alias("side", "line"))
     sets = [_set(F.when(F.col("side") == k, F.col("hs"))).alias(f"s{k}") for k in (0, 1)]  # two lines' hashes
     both = _arrays(how, sides, "x", "salt", "y", "side").groupBy("x", "salt", "y").agg(*sets)
-    both = both.select("x", "y", F.size("s0").alias("n0"), F.size("s1").alias("n1"), F.size(F.array_intersect("s0", "s1")).alias("common"))
-    return both.where(F.col("common") >= SIMILARITY * (F.col("n0") + F.col("n1") - F.col("common"))).select("x", "y")
+    # common >= SIMILARITY (n0 + n1 - common), with common named once: a filter works out twice what it names twice
+    similar = (1 + SIMILARITY) * F.size(F.array_intersect("s0", "s1")) >= SIMILARITY * (F.size("s0") + F.size("s1")) - 1e-6
+    return both.where(similar).select("x", "y")
 
 
 def _bitmaps(how: Shingles, texts: DataFrame) -> DataFrame:
