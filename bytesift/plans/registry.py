@@ -457,8 +457,8 @@ _add("spec_errors", _errors, " UNION ALL ".join(f"SELECT '{name}' AS name, {'fal
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.encode("text", "UTF-8").alias("content"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length("content") - 1) / 999).cast("int"), F.lit(0))))
-    chunks = docs.where("octet_length(content) > 0").withColumn("k", at).select("stream_id", F.col("k").cast("long").alias("seq"), F.expr("substring(content, 999 * k + 1, 999)").alias("data"))
+    cut = F.expr("transform(sequence(0, cast(floor((octet_length(content) - 1) / 999) as int)), k -> substring(content, 999 * k + 1, 999))")
+    chunks = docs.where("octet_length(content) > 0").select("stream_id", F.posexplode(cut).alias("seq", "data")).withColumn("seq", F.col("seq").cast("long"))
     folder, out = _folder(spark, "chunks"), _folder(spark, "stream-matches")
     chunks.write.parquet(folder)
     found = find_in_stream(spark.readStream.schema(chunks.schema).parquet(folder), SHARED)
