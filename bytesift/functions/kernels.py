@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .spec import TargetSpec
 
 QUOTE, DELIMITER, LF, CR = 1, 2, 3, 4
 
+#: bytes of buffers that are looked at together
+BLOCK = 1 << 20
+
+
+def strung(batch: pa.RecordBatch, at: int, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their bytes, where each row's bytes end) of a batch with buffers in column at, without a copy of them: as many rows at a time as hold size bytes together, or one
+    that alone holds more. What is made of a batch is so bounded by the size, or the longest buffer, however many rows Spark puts into a batch. Null buffers are left out."""
+    size = BLOCK if size is None else size
+    column = batch.columns[at]
+    if column.null_count:
+        batch = batch.filter(pc.is_valid(column))
+        column = batch.columns[at]
+    if not len(column):
+        return
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(offsets, int(offsets[row]) + size, side="right")) - 1)
+        own = offsets[row : to + 1].astype(np.int64)
+        yield batch.slice(row, to - row), data[own[0] : own[-1]], own[1:] - own[0]
+        row = to
+
 
 def scan(data: np.ndarray, spec: TargetSpec, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions, ids), ascending. ends: where the buffers that data strings together end; no match reaches over an end."""

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -52,32 +51,23 @@ def characters(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
 
 
 def _arrow(spec: TargetSpec, keep, n_keys: int):
-    names = np.array([""] + [spec.names()[i] for i in range(1, len(spec.names()) + 1)], dtype=object)
+    names = pa.array([""] + [spec.names()[i] for i in range(1, len(spec.names()) + 1)], pa.string())
 
     def run(batches):
-        for batch in batches:
-            column = batch.columns[n_keys]
-            if column.null_count:
-                live = pc.is_valid(column)
-                batch = batch.filter(live)
-                column = batch.columns[n_keys]
-            if not len(column):
-                continue
-            wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
-            offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            if offsets[-1] == offsets[0]:
-                continue
-            data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            pos, ids = kernels.scan(data, spec, offsets[1:])
-            row = np.searchsorted(offsets, pos, side="right") - 1
-            if keep is not None:
-                stays = keep(row, ids)
-                pos, ids, row = pos[stays], ids[stays], row[stays]
-            for at in range(0, len(pos), 1 << 18):
-                s = slice(at, at + (1 << 18))
-                taken = pa.array(row[s])
-                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[:n_keys]), pa.array(pos[s] - offsets[row[s]]), pa.array(ids[s].astype(np.int32)), pa.array(names[ids[s]], pa.string())], names=[*batch.schema.names[:n_keys], "pos", "lit", "name"])
+        for whole in batches:
+            for batch, data, ends in kernels.strung(whole, n_keys):
+                if not len(data):
+                    continue
+                pos, ids = kernels.scan(data, spec, ends)
+                row = np.searchsorted(ends, pos, side="right")
+                if keep is not None:
+                    stays = keep(row, ids)
+                    pos, ids, row = pos[stays], ids[stays], row[stays]
+                begins = np.concatenate(([0], ends[:-1]))
+                for at in range(0, len(pos), 1 << 18):
+                    s = slice(at, at + (1 << 18))
+                    taken = pa.array(row[s])
+                    yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[:n_keys]), pa.array(pos[s] - begins[row[s]]), pa.array(ids[s].astype(np.int32)), pa.DictionaryArray.from_arrays(pa.array(ids[s].astype(np.int32)), names).cast(pa.string())], names=[*batch.schema.names[:n_keys], "pos", "lit", "name"])
 
     return run
 
