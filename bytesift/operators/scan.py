@@ -118,16 +118,14 @@ def totals(df: DataFrame, col: str, spec: TargetSpec) -> DataFrame:
     names = spec.names()
 
     def run(batches):
-        for batch in batches:
-            column = batch.columns[0]
-            wide = pa.types.is_large_binary(column.type)
-            offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            if spec.sequences():
-                n = np.bincount(kernels.scan(data, spec, offsets[1:] - offsets[0])[1], minlength=len(names) + 1)
-            else:  # single bytes alone: how often each value occurs tells it
-                n = np.bincount(spec.table(), weights=np.bincount(data, minlength=256), minlength=len(names) + 1)
-            yield pa.RecordBatch.from_pydict({"name": [names[i] for i in range(1, len(names) + 1)], "n": pa.array(n[1:].astype(np.int64))})
+        for whole in batches:
+            total = np.zeros(len(names) + 1, dtype=np.int64)
+            for _, data, ends in kernels.strung(whole, 0):
+                if spec.sequences():
+                    total += np.bincount(kernels.scan(data, spec, ends)[1], minlength=len(names) + 1)
+                else:  # single bytes alone: how often each value occurs tells it
+                    total += np.bincount(spec.table(), weights=np.bincount(data, minlength=256), minlength=len(names) + 1).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"name": [names[i] for i in range(1, len(names) + 1)], "n": pa.array(total[1:])})
 
     found = df.where(F.col(col).isNotNull()).select(F.col(col).cast("binary").alias("__data")).mapInArrow(run, "name string, n long")
     return found.groupBy("name").agg(F.sum("n").alias("n_matches")).where("n_matches > 0")

@@ -77,3 +77,8 @@ def keyed(values):
 
 def test_memory_of_find():
     assert peak(scan._arrow(LETTERS, None, 1)(iter([keyed(texts())]))) < 80e6
+
+
+def test_memory_of_totals(spark):
+    spec = TargetSpec.builder().codepoints("low", "abcdefgh").build()
+    assert peak(ran(lambda df: scan.totals(df, "__data", spec), keyed(texts()).select(["__data"]))) < 20e6
