@@ -43,24 +43,15 @@ class Dialect:
 _FIELDS = 1 << 17
 
 
-def _strung(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends) of a batch's buffers, one behind the other: no copy."""
-    column = batch.columns[n_keys]
-    wide = pa.types.is_large_binary(column.type)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets[1:] - offsets[0]
-
-
 def _map(df: DataFrame, col: str, keys: Sequence[str], make, extra: str) -> DataFrame:
-    """make(data, ends) yields (the buffers that rows come from, arrays of extra); whole batches at a time."""
+    """make(data, ends) yields (the buffers that rows come from, arrays of extra); a block of buffers at a time."""
     schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
     names = [x.strip().split()[0] for x in extra.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                for buffer, columns in make(*_strung(batch, len(keys))):
+        for whole in batches:
+            for batch, data, ends in kernels.strung(whole, len(keys)):
+                for buffer, columns in make(data, ends):
                     same = pa.array(buffer)
                     yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[: len(keys)]), *(p if isinstance(p, pa.Array) else pa.array(p) for p in columns)], names=[*keys, *names])
 

@@ -82,3 +82,9 @@ def test_memory_of_find():
 def test_memory_of_totals(spark):
     spec = TargetSpec.builder().codepoints("low", "abcdefgh").build()
     assert peak(ran(lambda df: scan.totals(df, "__data", spec), keyed(texts()).select(["__data"]))) < 20e6
+
+
+def test_memory_of_csv_rows_and_fields(spark):
+    commas = keyed([b"ab," * 1300 + b"\n"] * 4000)
+    for operator in (csvscan._rows, csvscan.fields):
+        assert peak(ran(lambda df, f=operator: f(df, "k", keys=["k"], dialect=csvscan.Dialect()), commas)) < 160e6
