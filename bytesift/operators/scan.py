@@ -100,17 +100,32 @@ def find(df: DataFrame, col: str, spec: TargetSpec, *, keys: Sequence[str], quot
     return picked.mapInArrow(_arrow(spec, keep, len(keys)), f"{schema}{', ' if keys else ''}pos long, lit int, name string")
 
 
+#: In _sql() a character of several bytes that is looked for is one sign from here on, by its id, and filling signs: ISO-8859-1 has none of the former, and the latter is no target.
+_SIGNS, _FILL = 0x100, "\x80"
+
+
 def _sql(source: DataFrame, col: str, spec: TargetSpec, keys, quote_filter) -> DataFrame:
-    rows = source.select(*keys, F.monotonically_increasing_id().alias("__row"), F.split(col, "").alias("__chars"))
-    each = rows.select(*keys, "__row", F.posexplode("__chars").alias("i", "ch"))
-    upto = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("pos", (F.sum(F.octet_length("ch")).over(upto) - F.octet_length("ch")).cast("long")).withColumn("lit", is_match(F.col("ch"), spec))
-    hits = each.where("lit is not null")
-    if quote_filter is not None:
-        is_quote = F.col("lit") == spec.literals[quote_filter]
-        hits = hits.withColumn("inside", F.sum(is_quote.cast("int")).over(upto) % 2).where(is_quote | (F.col("inside") == 0))
+    """Text read as ISO-8859-1 has a character for each byte: an exploded place is a byte offset, without a sum over the row's characters and so without a shuffle."""
+    latin = F.decode(F.col(col).cast("binary"), "ISO-8859-1")
+    signs: dict[int, list[str]] = {number: [] for number in spec.names()}
+    for byte, number in enumerate(spec.table().tolist()):
+        if number:
+            signs[number].append(chr(byte))
+    for seq, number in spec.sequences():
+        if _SIGNS + number >= 0xD800:
+            raise SpecError("the sql strategy takes fewer targets; use arrow")
+        signs[number].append(chr(_SIGNS + number))
+        latin = F.replace(latin, F.lit(seq.decode("latin-1")), F.lit(chr(_SIGNS + number) + _FILL * (len(seq) - 1)))
+    if quote_filter is not None and (quotes := signs[spec.literals[quote_filter]]):  # every other part lies between quotes: it is filled up
+        parts = F.split(latin, "[" + "".join(f"\\x{{{ord(c):x}}}" for c in quotes) + "]")
+        latin = F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 0, part).otherwise(F.repeat(F.lit(_FILL), F.length(part)))), quotes[0])
+    lit = F.lit(None).cast("int")
+    for number, own in signs.items():
+        if own:
+            lit = F.when(F.col("ch").isin(own), F.lit(number)).otherwise(lit)
+    hits = source.select(*keys, F.posexplode(F.split(latin, "")).alias("pos", "ch")).withColumn("lit", lit).where("lit is not null")
     name = F.create_map(*[F.lit(x) for pair in spec.names().items() for x in pair])[F.col("lit")]
-    return hits.select(*keys, "pos", "lit", name.alias("name"))
+    return hits.select(*keys, F.col("pos").cast("long").alias("pos"), "lit", name.alias("name"))
 
 
 def totals(df: DataFrame, col: str, spec: TargetSpec) -> DataFrame:
