@@ -100,13 +100,14 @@ def quote_filter(ids: np.ndarray, quote: int, carry: int = 0) -> tuple[np.ndarra
 
 def csv_tokens(data: np.ndarray, delimiter: int, quote: int, carry: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """(positions, tokens, carry out) of quotes, and of delimiters, LF and CR outside quotes."""
-    lut = np.zeros(256, dtype=np.int64)
+    lut = np.zeros(256, dtype=np.int8)
     lut[[10, 13]] = LF, CR
     lut[delimiter], lut[quote] = DELIMITER, QUOTE
     found = lut[data]
     pos = np.flatnonzero(found)
-    stays, out = quote_filter(found[pos], QUOTE, carry)
-    return pos[stays], found[pos][stays], out
+    found = found[pos].astype(np.int64)
+    stays, out = quote_filter(found, QUOTE, carry)
+    return pos[stays], found[stays], out
 
 
 def csv_fields_of(data: np.ndarray, ends: np.ndarray, delimiter: int, quote: int) -> tuple[np.ndarray, ...]:

@@ -19,6 +19,8 @@ from ..functions import kernels
 from ..operators.csvscan import Dialect, field_texts
 
 RANGE_BYTES = 64 << 20
+#: bytes read past a range's end at first
+_TAIL = 1 << 14
 
 
 def _open(path: str):
@@ -42,14 +44,17 @@ def _row_starts(data: np.ndarray, dialect: Dialect, carry: int, at_begin: bool,
 
 
 def _ranges(spark: SparkSession, paths: list[str], size: int) -> tuple[DataFrame, int]:
-    """(a row per range, dealt one to a partition as far as that is sensible, the number of partitions)."""
+    """(a row per range, the number of partitions that they are dealt to): RANGE_BYTES to a partition, and less as long as there are cores without any."""
     rows = []
     for path in paths:  # lengths alone
         with _open(path) as f:
             total = f.size()
-        rows += [(path, k, k * size, min(total, (k + 1) * size), total) for k in range(max(1, -(-total // size)))]
-    n = max(1, min(len(rows), 10_000))
-    return spark.createDataFrame(rows, "path string, part int, start long, stop long, total long").repartition(n), n
+        rows.append((path, max(1, -(-total // size)), total))
+    n_ranges, n_bytes = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    n = max(1, min(n_ranges, max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // RANGE_BYTES))))
+    files = spark.createDataFrame(rows, "path string, n long, total long").select("path", "total", F.explode(F.expr("sequence(0, cast(n - 1 as int))")).alias("part"))
+    start = F.col("part").cast("long") * size
+    return files.select("path", "part", start.alias("start"), F.least("total", start + size).alias("stop"), "total").repartition(n), n
 
 
 def _counts(dialect: Dialect):
@@ -80,18 +85,26 @@ _ROWS = "path string, row long, fields array<string>"
 def _body(path: str, start: int, stop: int, total: int, state: int, dialect: Dialect) -> tuple[bytes, int]:
     """(the bytes of all rows that begin in the range, where in the file they begin)."""
     with _open(path) as f:
-        lead, size = int(start > 0), stop - start
-        while True:  # read on until a row begins at the range's end or later
-            f.seek(start - lead)
-            raw = f.read(min(size + lead + 1, total - start + lead))
+        lead, step = int(start > 0), _TAIL
+        f.seek(start - lead)
+        raw = f.read(min(stop - start + lead + 1, total - start + lead))
+        data = np.frombuffer(raw, dtype=np.uint8)
+        at, first = start - lead, int(lead and len(data) and data[0] == ord(dialect.quote))
+        begin = _row_starts(data, dialect, state ^ first, not lead, at + len(raw) < total) + at
+        beyond = begin[(begin >= stop) & (begin < at + len(raw))]
+        inside = (state ^ first ^ int((data == ord(dialect.quote)).sum())) & 1
+        tails = [raw]
+        while not len(beyond) and at + len(raw) < total:  # read on until a row begins at the range's end or later; the last byte is looked at again, for CR LF
+            at += len(raw) - 1
+            raw = raw[-1:] + f.read(min(step, total - at - 1))
             data = np.frombuffer(raw, dtype=np.uint8)
-            at_end = start - lead + len(raw) >= total
-            first = int(lead and len(data) and data[0] == ord(dialect.quote))
-            begin = _row_starts(data, dialect, state ^ first, not lead, not at_end) - lead + start
-            beyond = begin[begin >= stop]
-            if at_end or (len(beyond) and beyond[0] < start - lead + len(raw)):
-                break
-            size *= 2
+            inside ^= int(data[0] == ord(dialect.quote))
+            beyond = _row_starts(data, dialect, inside, False, at + len(raw) < total) + at
+            beyond = beyond[(beyond >= stop) & (beyond < at + len(raw))]
+            inside = (inside ^ int((data == ord(dialect.quote)).sum())) & 1
+            tails.append(raw[1:])
+            step *= 2
+        raw = b"".join(tails)
     mine = begin[(begin >= start) & (begin < stop)]
     if not len(mine):
         return b"", start
@@ -146,7 +159,7 @@ def _read(spark: SparkSession, paths: list[str], dialect: Dialect, range_bytes:
 def read_fields(spark: SparkSession, paths: list[str], *, dialect: Dialect = Dialect(), range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, row, col, start, end (bytes in the file), quoted, value of every field; a header counts as row -1. An empty file has no row.
 
-    Files are dealt in ranges of range_bytes, one to a task: their number follows the input, however few the files."""
+    Files are read in ranges of range_bytes, which are dealt out evenly: the number of tasks follows the input's bytes, however few the files or small the ranges."""
     return _read(spark, paths, dialect, range_bytes, _parse, _FIELDS)
 
 
